@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.endings import CJK, is_open, kind, plain
+from leafmill.llm.frames import frame
 
 # What stands in for an answer.
 PLACEHOLDERS = frozenset(
@@ -183,7 +184,7 @@ def pair_defects(patches: DataFrame) -> DataFrame:
             for key, o, t, lang, source in zip(*(pdf[c] for c in columns)):
                 if found := defects(o, t, lang, source == "ocr"):
                     rows.append((key, found))
-            yield pd.DataFrame(rows, columns=["patch_id", "defects"])
+            yield frame(rows, ["patch_id", "defects"])
 
     return (
         patches.where("original is not null and translated is not null and patch_id is not null")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.frames import frame
+
 # Boundary kinds with their cut penalties; a cut goes at the end of the match.
 BOUNDARIES = (
     ("paragraph", 0.0, re.compile(r"\n[^\S\n]*\n\s*")),
@@ -136,7 +138,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str
             for key, text, limit, overlap in zip(pdf["id"], pdf["text"], pdf["max_chars"], pdf["overlap_chars"]):
                 cuts = split_text(text, int(limit), int(overlap))
                 rows += [(key, i, len(cuts), a, b, kind, text[a:b]) for i, (a, b, kind) in enumerate(cuts)]
-            yield pd.DataFrame(rows, columns=["id", "piece_no", "pieces", "start", "end", "boundary", "piece"])
+            yield frame(rows, ["id", "piece_no", "pieces", "start", "end", "boundary", "piece"])
 
     return wide.mapInPandas(
         pieces, f"id {dict(wide.dtypes)['id']}, piece_no int, pieces int, start int, end int, boundary string, piece string"

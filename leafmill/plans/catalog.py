@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from leafmill.plans import scalars
+
+QUERIES = {**scalars.QUERIES}
+ORACLES = {**scalars.ORACLES}

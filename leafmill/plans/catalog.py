@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.plans import scalars
+from leafmill.plans import scalars, tables
 
-QUERIES = {**scalars.QUERIES}
-ORACLES = {**scalars.ORACLES}
+QUERIES = {**scalars.QUERIES, **tables.QUERIES}
+ORACLES = {**scalars.ORACLES, **tables.ORACLES}

@@ -363,7 +363,7 @@ def pred_p29_two_columns(spark: SparkSession, sf: str) -> DataFrame:
     return S.two_columns(regions(spark, sf), 595.0)
 
 
-@query(f"SELECT doc_id, page, CASE WHEN two_columns THEN [[0.0, 0.0, 299.5, 842.0], [295.5, 0.0, 595.0, 842.0]] ELSE [[0.0, 0.0, 595.0, 423.0], [0.0, 419.0, 595.0, 842.0]] END AS clips FROM {_TWO}")
+@query(f"SELECT doc_id, page, CASE WHEN two_columns THEN [[0, 0, 299.5, 842], [295.5, 0, 595, 842]]::double[][] ELSE [[0, 0, 595, 423], [0, 419, 595, 842]]::double[][] END AS clips FROM {_TWO}")
 def geo_g07_halves(spark: SparkSession, sf: str) -> DataFrame:
     return S.two_columns(regions(spark, sf), 595.0).select("doc_id", "page", G.halves(F.lit(595.0), F.lit(842.0), F.col("two_columns")).alias("clips"))
 

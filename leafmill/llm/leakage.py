@@ -37,7 +37,24 @@ EXCHANGED, INTERRUPTION = 36, 320
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\[/?[A-Za-z*][^\[\]\n]{0,120}\]")
 _ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = bytes(c for c in range(128) if not chr(c).isalnum())
+
+_BASE = 0x9E3779B97F4A7C15
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, at least ``n`` of them."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 4096)
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        _powers = (both[0], both[1])
+    return _powers
 
 
 def letters(text: str) -> str:
@@ -48,26 +65,31 @@ def letters(text: str) -> str:
         t = _TAG.sub(" ", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t)
-    return "".join(filter(str.isalnum, t.casefold()))
+        return "".join(filter(str.isalnum, t.casefold()))
+    return t.lower().encode().translate(None, _OTHER).decode()
 
 
 def fingerprints(plain: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, positions)`` that winnowing keeps; the rightmost of equal minima."""
+    """``(hashes, positions)`` that winnowing keeps: what is least in some window, equal ones included."""
     n = len(plain) - k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * _ODD + codes[j : j + n] + np.uint64(1)
+    # one running sum of weighted characters gives the hash of every span
+    powers, inverse = _powers_to(len(codes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * inverse[: len(codes)], dtype=np.uint64)))
+    h = (sums[k:] - sums[:n]) * powers[:n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    if n <= window:
-        keep = np.array([n - 1 - int(np.argmin(h[::-1]))])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, window)
-        keep = np.unique(np.arange(len(view)) + window - 1 - np.argmin(view[:, ::-1], axis=1))
+    window = min(window, n)
+    low = h[: n - window + 1].copy()
+    for j in range(1, window):
+        np.minimum(low, h[j : n - window + 1 + j], out=low)
+    kept = np.zeros(n, bool)
+    for j in range(window):
+        kept[j : n - window + 1 + j] |= h[j : n - window + 1 + j] == low
+    keep = np.flatnonzero(kept)
     return h[keep].view(np.int64), keep.astype(np.int32)
 
 

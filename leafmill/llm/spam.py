@@ -58,6 +58,9 @@ PRODUCT_TAG = re.compile(
     r"(?<!\w)(?:#[\w-]+|tag:[\w-]+|SKU[-:]?\d+|\d+[.,]\d\d\b|[€$£]\s?\d+|XXS|XS|S|M|L|XL|XXL|\d+(?:[.,]\d+)?\s?(?:cm|mm|in|kg|ml)\b|\d/\d\s?in\b|\d+-pack|refurb|boxed)(?!\w)",
     re.IGNORECASE,
 )
+_LINK_HINTS = ("://", "www.", "WWW.", "<a ", "<A ", "[url", "[URL", "](")
+_ENDED = re.compile(r"[.!?。！？…:][\"'”)\]]*\s*$")
+_NOT_FUNCTION = lambda w: w not in FUNCTION_WORDS
 _MENU_MARK = re.compile(r"[|›»>•·/]\s")
 
 # Transition log weights: lists and prose both go on for a while.
@@ -67,30 +70,39 @@ _STAY, _LEAVE = 0.0, -1.2
 class Segment:
     """One line, or one sentence of a line of prose, with its counts."""
 
-    __slots__ = ("words", "function", "links", "tags", "commercial", "ended", "menu", "repeated", "short")
+    __slots__ = ("words", "function", "links", "tags", "commercial", "ended", "menu", "repeated")
 
     def __init__(self, text: str):
-        links = _LINK.findall(text)
-        rest = _LINK.sub(" ", text)
+        links = _LINK.findall(text) if any(x in text for x in _LINK_HINTS) else []
+        rest = _LINK.sub(" ", text) if links else text
         anchors = sum(max(1, len(_WORD.findall(_ANCHOR.sub(" ", x)))) for x in links)
-        rest = _MARKUP.sub(" ", rest)
-        found = _WORD.findall(rest)
-        low = [w.lower() for w in found]
-        ideographs = sum("一" <= w <= "鿿" for w in found)
-        # two ideographs are about one word; a link weighs as its shown words and one more
-        self.words = len(found) - ideographs / 2 + anchors + len(links)
+        if any(x in rest for x in "<[&*_"):
+            rest = _MARKUP.sub(" ", rest)
+        low = _WORD.findall(rest.lower())
+        function = 0
+        ideographs = 0
+        if rest.isascii():
+            function = len(low) - sum(map(_NOT_FUNCTION, low))
+        else:
+            ideographs = sum("一" <= w <= "鿿" for w in low)
+            # two ideographs are about one word
+            function = sum(w in FUNCTION_WORDS for w in low) + sum(w in CHINESE_FUNCTION for w in low) / 2
+        # a link weighs as its shown words and one more
+        self.words = len(low) - ideographs / 2 + anchors + len(links)
         self.links = len(links) + anchors
-        self.function = sum(w in FUNCTION_WORDS or w in CHINESE_FUNCTION for w in low) - sum(w in CHINESE_FUNCTION for w in low) / 2
+        self.function = function
+        self.ended = bool(_ENDED.search(rest[-12:]))
+        self.tags = self.commercial = self.menu = 0
+        self.repeated = 0.0
         # a segment full of function words is prose whatever it offers
-        plain = self.function >= 0.25 * self.words and not links
-        self.tags = 0 if plain else len(PRODUCT_TAG.findall(rest))
-        self.commercial = 0 if plain else len(COMMERCIAL.findall(rest)) + sum(len(COMMERCIAL.findall(x)) for x in links)
+        if function >= 0.25 * self.words and not links:
+            return
+        self.tags = len(PRODUCT_TAG.findall(rest))
+        self.commercial = len(COMMERCIAL.findall(rest)) + sum(len(COMMERCIAL.findall(x)) for x in links)
         self.menu = len(_MENU_MARK.findall(rest))
-        self.ended = bool(re.search(r"[.!?。！？…:][\"'”)\]]*\s*$", rest))
         counts = Counter(w for w in low if w not in FUNCTION_WORDS and not w.isdigit())
         total = sum(counts.values())
         self.repeated = 1 - len(counts) / total if total > 3 else 0.0
-        self.short = len(found) <= 4
 
     def scores(self) -> tuple[float, float, float, float]:
         """Log emission weights of the four states, up to a constant."""

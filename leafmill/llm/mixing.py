@@ -114,7 +114,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     timed = cut(timed if budget is not None else timed.where(F.col("finish") <= last * (1 + 1e-9)))
     placed = timed.withColumn("_slice", F.least(F.lit(BUCKETS), (F.col("finish") / last * BUCKETS).cast("int")))
     ordered = _running(
-        placed, [], "_slice", ["finish", "source", "doc_id", "pass"], {"total_tokens": F.col("tokens"), "position": F.lit(1)}
+        placed, [], "_slice", ["finish", "source", F.desc("tokens"), "doc_id", "pass"], {"total_tokens": F.col("tokens"), "position": F.lit(1)}
     )
     return (
         ordered.where(F.col("total_tokens") <= limit)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.session import cut
 
 BATCH = 10
 
@@ -105,13 +106,14 @@ def translate_blocks(blocks: DataFrame, memo: DataFrame, make: Callable[[], Prov
         .withColumn("clean", X.plain_math_letters(F.trim("original")))
         .withColumn("key", X.content_key(F.lit("v3"), F.sha1(F.coalesce("clean", F.lit(""))), F.col("target_lang")))
     )
-    asked = keyed.where("action in ('translate', 'mixed')").select("key", "clean", "target_lang").dropDuplicates(["key"])
+    # written once: the memo, the provider and the final join would each derive it again
+    asked = cut(keyed.where("action in ('translate', 'mixed')").select("key", "clean", "target_lang").dropDuplicates(["key"]))
     known = memo.select("key", F.col("payload").alias("answer"))
     found = asked.join(known, "key")
     usable = ~X.needs_retry(F.col("clean"), F.col("answer"), F.col("target_lang"))
     found = found.where(usable)
     todo = asked.join(found, "key", "left_anti")
-    made = run(todo, make, "clean", "target_lang")
+    made = cut(run(todo, make, "clean", "target_lang"))
     answered = found.select("key", "answer").unionByName(made.select("key", X.strip_stray_emphasis(F.col("answer")).alias("answer")))
     out = keyed.join(answered.select("key", F.col("answer").alias("_a")), "key", "left")
     kept = F.when(F.col("action").isin("formula", "image", "code"), F.col("original")).when(F.col("action") == "reuse", F.col("translated"))

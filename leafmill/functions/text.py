@@ -56,12 +56,12 @@ def math_letters() -> tuple[str, str]:
 
 
 # Fixed value: white space of any script.
-SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def _delete(c: Column, pattern: str) -> Column:
@@ -278,68 +278,97 @@ def is_heavy_math(c: Column) -> Column:
     return F.coalesce((F.length(c) >= 12) & ((letters >= 3) | ((lost >= 1) & (noise >= 2)) | single), F.lit(False))
 
 
-def is_echo(original: Column, answer: Column, target: Column) -> Column:
-    """An answer for Chinese without an ideograph, to an original of three words or more."""
-    o, t = strip(F.coalesce(original, F.lit(""))), strip(F.coalesce(answer, F.lit("")))
+def let(value: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _stripped_pair(original: Column, answer: Column, f) -> Column:
+    pair = F.struct(strip(F.coalesce(original, F.lit(""))).alias("o"), strip(F.coalesce(answer, F.lit(""))).alias("t"))
+    return let(pair, lambda p: f(p["o"], p["t"]))
+
+
+def _echo(o: Column, t: Column, target: Column) -> Column:
     return (
         (o != "") & (t != "") & F.coalesce(F.lower(target).startswith("zh"), F.lit(False)) & ~o.contains("```")
         & ~t.rlike("[一-鿿]") & (F.regexp_count(o, F.lit("[A-Za-z]{2,}")) >= 3)
     )
 
 
+def is_echo(original: Column, answer: Column, target: Column) -> Column:
+    """An answer for Chinese without an ideograph, to an original of three words or more."""
+    return _stripped_pair(original, answer, lambda o, t: _echo(o, t, target))
+
+
 def paragraphs(c: Column) -> Column:
     """The non-blank paragraphs of a text."""
     return F.filter(F.split(c, r"\n\s*\n", -1), lambda p: strip(_delete(p, r"\s+")) != "")
 
 
-def is_fused(original: Column, answer: Column) -> Column:
-    """An answer that took over its neighbours' content."""
-    o, t = strip(F.coalesce(original, F.lit(""))), strip(F.coalesce(answer, F.lit("")))
+def _fused(o: Column, t: Column) -> Column:
     grew = (F.size(paragraphs(o)) <= 1) & (F.size(paragraphs(t)) >= 3)
     title = (F.length(o) <= 100) & ~o.contains("\n") & ~o.rlike("[.!?。！？；;]$")
     return (o != "") & (t != "") & (grew | (title & (F.length(t) > F.greatest(F.lit(80), F.length(o) * 4))))
 
 
+def is_fused(original: Column, answer: Column) -> Column:
+    """An answer that took over its neighbours' content."""
+    return _stripped_pair(original, answer, _fused)
+
+
 def is_generic_heading(c: Column) -> Column:
     """A usual section name, or a heading with a number of several levels."""
-    bare = strip(F.replace(c, F.lit("*"), F.lit("")))
-    name = F.lower(_delete(strip(_delete(strip(F.replace(bare, F.lit("_"), F.lit(""))), "[:：]+$")), r"^\d+(\.\d+)*\s+"))
-    return bare.rlike(r"^\d+(\.\d+)+\s") | name.isin(*GENERIC_HEADINGS)
+
+    def rule(bare: Column) -> Column:
+        name = F.lower(_delete(strip(_delete(strip(F.replace(bare, F.lit("_"), F.lit(""))), "[:：]+$")), r"^\d+(\.\d+)*\s+"))
+        return bare.rlike(r"^\d+(\.\d+)+\s") | name.isin(*GENERIC_HEADINGS)
+
+    return let(strip(F.replace(c, F.lit("*"), F.lit(""))), rule)
 
 
 def needs_translation(c: Column, target: Column) -> Column:
     """Whether a label is language: short ones and identifiers aren't, hyphenated words are."""
-    t = strip(F.coalesce(c, F.lit("")))
-    return (
-        F.when(F.length(t) <= 3, False)
-        .when(t.rlike("^[A-Z][a-z]+(-[a-z]+)+$"), True)
-        .when(t.rlike(IDENTIFIER), False)
-        .when(F.lower(target).startswith("zh") & ~t.rlike("[A-Za-z]"), False)
-        .otherwise(True)
-    )
+
+    def rules(t: Column) -> Column:
+        return (
+            F.when(F.length(t) <= 3, False)
+            .when(t.rlike("^[A-Z][a-z]+(-[a-z]+)+$"), True)
+            .when(t.rlike(IDENTIFIER), False)
+            .when(F.lower(target).startswith("zh") & ~t.rlike("[A-Za-z]"), False)
+            .otherwise(True)
+        )
+
+    return let(strip(F.coalesce(c, F.lit(""))), rules)
 
 
 def is_latex(c: Column) -> Column:
     return F.coalesce((c != "") & (F.length(c) <= 8000) & c.rlike(r"[$\\=]"), F.lit(False))
 
 
+def _bad(o: Column, t: Column, target: Column) -> Column:
+    return (t == "") | _echo(o, t, target) | _fused(o, t)
+
+
 def needs_retry(original: Column, answer: Column, target: Column) -> Column:
     """Blank, echoed or fused."""
-    return (strip(F.coalesce(answer, F.lit(""))) == "") | is_echo(original, answer, target) | is_fused(original, answer)
+    return _stripped_pair(original, answer, lambda o, t: _bad(o, t, target))
 
 
 def translate_action(original: Column, answer: Column, target: Column) -> Column:
     """What the translation stage does with a block, in order of the rules."""
-    o = strip(F.coalesce(original, F.lit("")))
-    return (
-        F.when(o == "", "blank")
-        .when(is_image(o), "image")
-        .when(o.startswith("```"), "code")
-        .when(is_formula(o), "formula")
-        .when(~needs_retry(original, answer, target), "reuse")
-        .when(is_heavy_math(o), "mixed")
-        .otherwise("translate")
-    )
+
+    def rules(o: Column, t: Column) -> Column:
+        return (
+            F.when(o == "", "blank")
+            .when(is_image(o), "image")
+            .when(o.startswith("```"), "code")
+            .when(is_formula(o), "formula")
+            .when(~_bad(o, t, target), "reuse")
+            .when(is_heavy_math(o), "mixed")
+            .otherwise("translate")
+        )
+
+    return _stripped_pair(original, answer, rules)
 
 
 def formula_count(c: Column) -> Column:

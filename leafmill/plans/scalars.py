@@ -25,7 +25,7 @@ def delete(expr: str, pattern: str) -> str:
 
 
 def strip(expr: str) -> str:
-    return delete(expr, f"^{X.SPACE}+|{X.SPACE}+$")
+    return f"trim({expr}, {q(X.SPACES)})"
 
 
 def count(expr: str, pattern: str) -> str:
@@ -194,7 +194,7 @@ ACTION = (
     f"CASE WHEN {O_} = '' THEN 'blank' WHEN {has(O_, X.IMAGE_ONLY)} THEN 'image' WHEN starts_with({O_}, '```') THEN 'code'"
     f" WHEN {FORMULA} THEN 'formula' WHEN NOT {RETRY} THEN 'reuse' WHEN {HEAVY} THEN 'mixed' ELSE 'translate' END"
 )
-_pair("pred_p31_action", X.translate_action, ACTION.replace("coalesce(length(original)", f"coalesce(length({O_})"))
+_pair("pred_p31_action", X.translate_action, ACTION)
 scalar("pred_p25_rate_limit", "block_patch", "patch_id", lambda: {"out": F.col("translated").rlike("(?i)rate.?limit|too many requests|\\b429\\b")}, {"out": has("translated", "(?i)rate.?limit|too many requests|\\b429\\b")})
 _lines("pred_p28_script_body", lambda x: (F.length(x) <= 2) | x.rlike("[0-9-]"), "(length(x) <= 2 OR regexp_matches(x, '[0-9-]'))")
 _patch("agg_a15_formulas", X.formula_count, count(T, r"(?s)\$\$.+?\$\$|\\\(.+?\\\)|\\\[.+?\\\]"))

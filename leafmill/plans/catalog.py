@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.plans import scalars, tables
+from leafmill.plans import pages, scalars, tables
 
-QUERIES = {**scalars.QUERIES, **tables.QUERIES}
-ORACLES = {**scalars.ORACLES, **tables.ORACLES}
+QUERIES = {**scalars.QUERIES, **tables.QUERIES, **pages.QUERIES}
+ORACLES = {**scalars.ORACLES, **tables.ORACLES, **pages.ORACLES}

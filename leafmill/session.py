@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,10 +57,5 @@ def drop_cuts() -> None:
             return
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Mark a small reused frame for caching; lost blocks are recomputed from lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -147,13 +147,16 @@ def shared_words(doc: str, item_words: list[str], hits: list[tuple[int, int]]) -
             reached[i - j] = i + after
     # chain: spans in order in both texts, each followed by a near one; one gap may be long on the post's side
     spans.sort()
+    longest = max((n for _, _, n in spans), default=0)
     best: list[list[tuple[int, int, int]]] = []
     for s, (i, j, n) in enumerate(spans):
         first, last = bisect_left(starts, j), bisect_left(ends, j + n + 1)
         words = max(0, last - first)
         options = [[(words, first, last), None]]
-        for p in range(max(0, s - 60), s):
+        for p in range(s - 1, -1, -1):
             pi, pj, pn = spans[p]
+            if i - pi > INTERRUPTION + longest:
+                break
             gap_doc, gap_item = i - (pi + pn), j - (pj + pn)
             if not (-8 <= gap_item <= EXCHANGED and -8 <= gap_doc <= INTERRUPTION):
                 continue

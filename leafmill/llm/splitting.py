@@ -6,7 +6,7 @@ of a cut sequence is the sum of the penalties of its boundaries plus, for each
 piece, the squared relative deviation from the ideal size. Each piece keeps
 the limit; the overlap is exact.
 
-A null text has no pieces, a text within the limit has one, a row without a
+A null text has no pieces, nor has a row without an id; a text within the limit has one, a row without a
 limit (null, or no entry for its source) is left whole. Unsplittable stretches
 are cut hard, but never before a combining mark unless nothing else is left.
 A weaker kind of boundary is a candidate only in stretches longer than a
@@ -127,7 +127,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str
     wide = (
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
         .join(limits.select("source", "max_chars", "overlap_chars").dropDuplicates(["source"]), "source")
-        .where(F.length("text") > F.col("max_chars"))
+        .where(F.col("id").isNotNull() & (F.length("text") > F.col("max_chars")))
         .dropDuplicates(["id"])
         .select("id", "text", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
     )

@@ -11,7 +11,8 @@ sentence is sound if the next block of its page goes on with it. The second
 clause is needed because transfers also break at arbitrary lengths, which no
 hazard can show. The end of a scanned page's original is never damaged.
 
-Null values are not values and count nowhere. Redelivered patches count once.
+Null values are not values and count nowhere, nor do rows without a
+``patch_id``. Redelivered patches count once.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def profiles(patches: DataFrame) -> DataFrame:
     numbers = ", ".join(f"{k} int" for k in ("o_chars", "o_bytes", "t_chars", "t_bytes"))
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {numbers}, " + ", ".join(f"{k} boolean" for k in FLAGS)
     rows = (
-        patches.where("original is not null or translated is not null")
+        patches.where("patch_id is not null and (original is not null or translated is not null)")
         .select(*keys, "original", "translated", *lengths)
         .mapInPandas(measure, schema)
     )
@@ -161,9 +162,9 @@ def length_hazards(valued: DataFrame, neighbours: int = NEIGHBOURS, fdr: float =
     )
 
 
-def truncated_values(patches: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """Damaged values ``(patch_id, field, source, at_limit)``."""
-    profiled = profiles(patches)
+def truncated_values(patches: DataFrame, blocks: DataFrame | None = None, profiled: DataFrame | None = None) -> DataFrame:
+    """Damaged values ``(patch_id, field, source, at_limit)``; ``profiled`` spares reading the texts again."""
+    profiled = profiles(patches) if profiled is None else profiled
     valued = values(profiled)
     limits = cut(length_hazards(valued).where("significant").select("field", "by", "key", "unit", "length"))
     broken = valued.where("open")
@@ -197,7 +198,7 @@ def truncation_rates(patches: DataFrame, blocks: DataFrame | None = None) -> Dat
     """Damaged share per source and field: ``source, field, n_values, damaged, rate``."""
     profiled = profiles(patches)
     total = values(profiled).groupBy("source", "field").agg(F.count("*").alias("n_values"))
-    damaged = truncated_values(patches, blocks).groupBy("source", "field").agg(F.count("*").alias("damaged"))
+    damaged = truncated_values(patches, blocks, profiled).groupBy("source", "field").agg(F.count("*").alias("damaged"))
     same = (F.col("t.source").eqNullSafe(F.col("d.source"))) & (F.col("t.field") == F.col("d.field"))
     return (
         total.alias("t")

@@ -206,3 +206,15 @@ def promoted(text: str | None, titles: list[tuple[str, int]]) -> list[str]:
             if cut and cut[1]:
                 return ["#" * level + " " + cut[0], cut[1]]
     return [text]
+
+
+def first_alike(heads: DataFrame, blocks: DataFrame) -> DataFrame:
+    """For each head the first block of its page that begins as it does, or it as the block: adds ``match``.
+
+    ``heads``: ``doc_id, page, head_id, text``; ``blocks``: ``doc_id, page, block_id, text``.
+    """
+    h = heads.select("doc_id", "page", "head_id", X.alnum_norm(F.col("text")).alias("h")).where("h <> ''")
+    b = blocks.select("doc_id", "page", "block_id", X.alnum_norm(F.col("text")).alias("t")).where("t <> ''")
+    alike = F.col("t").startswith(F.left("h", F.lit(HEAD))) | F.col("h").startswith(F.left("t", F.lit(HEAD)))
+    found = h.join(b, ["doc_id", "page"]).where(alike).groupBy("doc_id", "page", "head_id").agg(F.min("block_id").alias("match"))
+    return heads.join(found, ["doc_id", "page", "head_id"], "left")

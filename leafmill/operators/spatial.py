@@ -130,3 +130,15 @@ def two_columns(regions: DataFrame, width: float) -> DataFrame:
     )
     clean = (F.col("l") >= 3) & (F.col("r") >= 3) & (F.col("lx") <= F.col("rx") + 5)
     return sides.select("doc_id", "page", F.coalesce(clean, F.lit(False)).alias("two_columns"))
+
+
+def duplicate_boxes(spans: DataFrame, share: float = 0.3) -> DataFrame:
+    """Spans that lie over another of their page by ``share`` of the smaller and have less ink; no ink goes anyway.
+
+    ``spans``: ``doc_id, page, span, bbox, ink``. Ties fall to the later span.
+    """
+    a, b = spans.alias("i"), spans.alias("o")
+    both = G.intersection(F.col("i.bbox"), F.col("o.bbox")) / F.greatest(F.least(G.area(F.col("i.bbox")), G.area(F.col("o.bbox"))), F.lit(1e-9))
+    less = (F.col("i.ink") < F.col("o.ink")) | ((F.col("i.ink") == F.col("o.ink")) & (F.col("i.span") > F.col("o.span")))
+    ghosts = a.join(b, _on_page() & (F.col("i.span") != F.col("o.span")) & (both >= share) & less, "left_semi")
+    return ghosts.unionByName(spans.where("ink = 0")).distinct()

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from leafmill.functions import text as X
 from leafmill.operators import library as L
 from leafmill.operators import lines as P
+from leafmill.operators import match as J
+from leafmill.operators import metrics as M
 from leafmill.operators import spatial as S
 from leafmill.plans import tables
 from leafmill.plans.scalars import has, q
@@ -278,3 +280,46 @@ def state_x19_formula_pass(spark: SparkSession, sf: str) -> DataFrame:
     """Which field a recognised formula block replaces: few words, the answer; many, the original, to be asked again."""
     rows = table(spark, sf, "block_patch").where(F.col("original").rlike(r"[$\\=]"))
     return rows.select("patch_id", F.when(F.regexp_count("original", F.lit("[A-Za-z]{2,}")) < 10, "translated").otherwise("original").alias("replaced"))
+
+
+_FIRST, _LAST = "left(original, 12)", "right(original, 12)"
+
+
+@query(f"SELECT patch_id, CASE WHEN {_FIRST} <> '' THEN (instr(original, {_FIRST}) < instr(original, {_LAST}))::int::double END AS score FROM block_patch WHERE original IS NOT NULL")
+def agg_j25_order_score(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = F.filter(F.array(F.struct(F.left("original", F.lit(12)).alias("left"), F.right("original", F.lit(12)).alias("right"))), lambda p: p["left"] != "")
+    return table(spark, sf, "block_patch").where("original is not null").select("patch_id", M.order_score(F.col("original"), pairs).alias("score"))
+
+
+_SPAN = f"(SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY bbox, label, conf))::int AS span, bbox, round(conf * 1000)::int % 7 AS ink FROM {REGION})"
+
+
+@query(f"""
+WITH s AS (SELECT * FROM {_SPAN}) SELECT i.doc_id, i.page, i.span FROM s i WHERE ink = 0 OR EXISTS (SELECT 1 FROM s o WHERE o.doc_id = i.doc_id AND o.page = i.page AND o.span <> i.span
+ AND greatest(least(i.bbox[3], o.bbox[3]) - greatest(i.bbox[1], o.bbox[1]), 0) * greatest(least(i.bbox[4], o.bbox[4]) - greatest(i.bbox[2], o.bbox[2]), 0)
+ / least((i.bbox[3] - i.bbox[1]) * (i.bbox[4] - i.bbox[2]), (o.bbox[3] - o.bbox[1]) * (o.bbox[4] - o.bbox[2])) >= 0.3 AND (i.ink < o.ink OR (i.ink = o.ink AND i.span > o.span)))""")
+def spatial_j28_ghosts(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("doc_id", "page").orderBy("bbox", "label", "conf")
+    spans = regions(spark, sf).select("doc_id", "page", F.row_number().over(w).alias("span"), "bbox", (F.round(F.col("conf") * 1000).cast("int") % 7).alias("ink"))
+    return S.duplicate_boxes(spans).select("doc_id", "page", "span")
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, page, block_id AS head_id, {tables._NORM.format('left(original, 30)')} AS h FROM {ONE} WHERE block_id % 3 = 0), b AS (SELECT doc_id, page, block_id, {tables._NORM.format('original')} AS t FROM {ONE})
+SELECT h.doc_id, h.page, h.head_id, min(b.block_id) AS match FROM h LEFT JOIN b ON h.doc_id = b.doc_id AND h.page = b.page AND h.h <> '' AND t <> '' AND (starts_with(t, left(h.h, 24)) OR starts_with(h.h, left(t, 24))) GROUP BY h.doc_id, h.page, h.head_id""")
+def match_j05_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    b = tables.one_per_block(spark, sf)
+    heads = b.where("block_id % 3 = 0").select("doc_id", "page", F.col("block_id").alias("head_id"), F.left("original", F.lit(30)).alias("text"))
+    return J.first_alike(heads, b.select("doc_id", "page", "block_id", F.col("original").alias("text"))).select("doc_id", "page", "head_id", "match")
+
+
+@query("SELECT doc_id, page, max(length(original)) AS longest, arg_max(block_id, (length(original), -block_id)) AS longest_block FROM block WHERE original IS NOT NULL GROUP BY doc_id, page")
+def agg_a18_arg_max(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("original")
+    rows = table(spark, sf, "block").where("original is not null").groupBy("doc_id", "page")
+    return rows.agg(F.max(n).alias("longest"), F.max_by("block_id", F.struct(n, -F.col("block_id"))).alias("longest_block"))
+
+
+@query("SELECT source, count(*) FILTER (regexp_matches(original, '[α-ωΑ-Ω\\x{1D400}-\\x{1D7FF}]')) AS math_values FROM block_patch GROUP BY source")
+def agg_a16_math_values(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "block_patch").groupBy("source").agg(F.count_if(F.col("original").rlike(r"[α-ωΑ-Ω\x{1D400}-\x{1D7FF}]")).alias("math_values"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators import blocks as B
 from leafmill.session import cut
 
 BATCH = 10
@@ -126,3 +127,45 @@ def retry(df: DataFrame, make: Callable[[], Provider], text: str, target: str, a
     bad = X.needs_retry(F.col(text), F.col(answer), F.col(target))
     again = run(df.where(bad).drop(answer), make, text, target, answer)
     return df.where(~bad).unionByName(again.select(*df.columns))
+
+
+def build_glossaries(samples: DataFrame, make: Callable[[], Provider], least: int = 200, most: int = 30) -> DataFrame:
+    """``(doc_id, glossary)`` from ``doc_id, sample``: the provider's JSON map of terms.
+
+    A sample of under ``least`` characters, or an answer that is no map, gives an empty one.
+    """
+    asked = samples.withColumn("_target", F.lit("glossary"))
+    enough = F.length("sample") >= least
+    answered = run(asked.where(enough), make, "sample", "_target")
+    empty = F.create_map().cast("map<string,string>")
+    terms = F.coalesce(B.glossary(F.col("answer")), empty)
+    some = answered.select("doc_id", F.map_from_entries(F.slice(F.map_entries(terms), 1, most)).alias("glossary"))
+    return some.unionByName(asked.where(~F.coalesce(enough, F.lit(False))).select("doc_id", empty.alias("glossary")))
+
+
+def recognise_formulas(segments: DataFrame, memo: DataFrame, make: Callable[[], Provider]) -> DataFrame:
+    """``(key, latex)`` of segments ``key, image``: the memo first, then the provider once per key.
+
+    Invalid answers give null; bare macros are put between dollars.
+    """
+    known = memo.select("key", F.col("payload").alias("latex")).where(X.is_latex(F.col("payload")))
+    distinct = segments.dropDuplicates(["key"])
+    todo = distinct.join(known, "key", "left_anti").withColumn("_target", F.lit("latex"))
+    made = run(todo, make, "image", "_target", "latex").select("key", "latex")
+    rows = distinct.join(known, "key").select("key", "latex").unionByName(made)
+    return rows.select("key", F.when(X.is_latex(F.col("latex")), X.wrap_bare_latex(F.col("latex"))).alias("latex"))
+
+
+def parse_in_halves(pages: DataFrame, make: Callable[[], Provider], text: str = "page_text") -> DataFrame:
+    """Pages whose parse was cut off are parsed again in two halves that are joined in order.
+
+    ``pages``: ``doc_id, page, <text>, md, truncated``. Sound pages are left as they are.
+    """
+    bad = F.coalesce("truncated", F.lit(False))
+    half = F.ceil(F.length(text) / 2).cast("int")
+    parts = F.posexplode(F.array(F.left(text, half), F.substring(F.col(text), half + 1, F.length(text)))).alias("half", "part")
+    halves = pages.where(bad).select("doc_id", "page", parts).withColumn("_target", F.lit("md"))
+    done = run(halves, make, "part", "_target", "md")
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "md"))), lambda p: p["md"]), "\n\n")
+    joined = done.groupBy("doc_id", "page").agg(ordered.alias("md"))
+    return pages.where(~bad).select("doc_id", "page", "md").unionByName(joined)

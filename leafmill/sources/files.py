@@ -89,3 +89,20 @@ def write_text(lines: DataFrame, path: str, order: list[str]) -> None:
 
 def write_log(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").text(path)
+
+
+SIDECAR = "png string, page int, region array<double>, lines array<struct<text:string,bbox:array<double>,size:double,color:int>>, kind string, pdf string"
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """Figure sidecars with ``reason``: null for a usable one, else what is missing."""
+    rows = _json(spark, path, SIDECAR)
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), c) for c in ("png", "page", "region", "lines")])
+    return rows.withColumn("reason", F.nullif(missing, F.lit("")))
+
+
+def clear_memo(spark: SparkSession, path: str) -> int:
+    """Empties a memo; gives the number of entries that it had."""
+    entries = read_memo(spark, path).count()
+    spark.createDataFrame([], MEMO).write.mode("overwrite").json(path)
+    return entries

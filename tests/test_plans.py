@@ -71,3 +71,37 @@ def test_mounting(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     jobs.mount_pages(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(tuple(r) for r in jobs.mounted(spark, str(tmp_path / "out"), ["text"]).collect()) == [("d", 0, "first"), ("d", 1, "other")]
+
+
+class Canned(P.Provider):
+    def one(self, text, target):
+        return {"glossary": 'ok {"a": "b", " c ": "d", "e": ""}', "latex": r"\alpha" if "a" in text else "prose", "md": text.upper()}[target]
+
+
+def test_glossaries(spark):
+    rows = spark.createDataFrame([("d", "x" * 300), ("e", "short"), ("f", None)], "doc_id string, sample string")
+    assert {r.doc_id: r.glossary for r in P.build_glossaries(rows, Canned).collect()} == {"d": {"a": "b", "c": "d"}, "e": {}, "f": {}}
+
+
+def test_formulas(spark):
+    rows = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b"), ("k3", "a")], "key string, image string")
+    memo = spark.createDataFrame([("k3", "$x$"), ("k2", "no")], "key string, payload string")
+    assert {r.key: r.latex for r in P.recognise_formulas(rows, memo, Canned).collect()} == {"k1": r"$\alpha$", "k2": None, "k3": "$x$"}
+
+
+def test_halves(spark):
+    rows = spark.createDataFrame([("d", 0, "abcde", "cut", True), ("d", 1, "x", "sound", False), ("d", 2, "x", "sound", None)], "doc_id string, page int, page_text string, md string, truncated boolean")
+    assert {r.page: r.md for r in P.parse_in_halves(rows, Canned).collect()} == {0: "ABC\n\nDE", 1: "sound", 2: "sound"}
+
+
+def test_sidecars_and_clearing(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"png": "p", "page": 1, "region": [0, 0, 1, 1], "lines": [], "kind": "figure", "pdf": "f"}) + "\n" + json.dumps({"png": "p"}))
+    assert sorted(str(r.reason) for r in files.read_sidecars(spark, str(tmp_path / "a.json")).collect()) == ["None", "page, region, lines"]
+    files.write_memo(spark.createDataFrame([("text", "ab12", "v1", "{}")], files.MEMO), str(tmp_path / "memo"))
+    assert files.clear_memo(spark, str(tmp_path / "memo")) == 1 and files.read_memo(spark, str(tmp_path / "memo")).count() == 0
+
+
+def test_header_absorption():
+    from leafmill.operators.lines import absorb_header
+
+    assert absorb_header([(80.0, 90.0, 3), (60.0, 70.0, 2), (40.0, 50.0, 1), (0.0, 5.0, 4)], 100.0) == 60.0 and absorb_header([], 9.0) == 9.0

@@ -8,7 +8,10 @@ joined, misread words are replaced.
 
 Misread words are found with a lexicon counted over the whole corpus: a word
 is misread when another word of the same skeleton (letters that scanners mix
-up fall together) is at least ``RATIO`` times as frequent.
+up fall together) is at least ``RATIO`` times as frequent. The frequent words
+are broadcast; a token that they don't decide is compared by its true count
+with all words of its skeletons in a join. There a token that only scanned
+pages hold is also misread when the other word stands outside them.
 
 A null page has no lines. A page without a repeated header or number is
 labelled from its own layout. Redelivered patches count once.
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.frames import frame
 from leafmill.session import cut
 
+# The lexicon is the fast path; ``rare_words`` looks up what it can't decide.
 # A lexicon word makes up at least this share of all words, so there are at
 # most 1 / LEXICON_SHARE of them whatever the size of the corpus: they can be broadcast.
 LEXICON_SHARE = 4e-6
@@ -242,6 +246,15 @@ def label_lines(text: str, recurs: dict[int, int], page_index: int | None = None
     return path[::-1]
 
 
+def _may_be_misread(token: str) -> bool:
+    return len(token) >= 3 and any(map(str.isalpha, token)) and not (token.isupper() and any(map(str.isdigit, token)))
+
+
+def _cased(word: str, token: str) -> str:
+    """The word with the capital of the token that it replaces."""
+    return word.capitalize() if token[0].isupper() or not token[0].isalpha() and word[0] != token[0] and token[1:2].isupper() else word
+
+
 class Lexicon:
     """Counted words with their skeletons."""
 
@@ -263,8 +276,12 @@ class Lexicon:
             self._known[token] = self._right(token)
         return self._known[token]
 
+    def undecided(self, token: str) -> bool:
+        """Whether rarer words than the lexicon's may tell that the token is misread."""
+        return _may_be_misread(token) and token.lower() not in self.counts and self.right(token) is None
+
     def _right(self, token: str) -> str | None:
-        if len(token) < 3 or not any(map(str.isalpha, token)) or token.isupper() and any(map(str.isdigit, token)):
+        if not _may_be_misread(token):
             return None
         low = token.lower()
         own = max(self.counts.get(low, 0), self.least)
@@ -276,7 +293,7 @@ class Lexicon:
         best = max(options, key=lambda w: self.counts[w], default=None)
         if best is None or self.counts[best] < RATIO * own:
             return None
-        return best.capitalize() if token[0].isupper() or not token[0].isalpha() and best[0] != token[0] and token[1:2].isupper() else best
+        return _cased(best, token)
 
 
 def _is_broken(head: str, tail: str, mark: str, lexicon: Lexicon) -> bool:
@@ -294,8 +311,12 @@ def _is_broken(head: str, tail: str, mark: str, lexicon: Lexicon) -> bool:
     return min(lexicon.count(head), lexicon.count(tail)) <= 4 * lexicon.least
 
 
-def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None) -> tuple[list[tuple[int, str]], str]:
-    """``(line number, noise)`` of a page and its repaired text, a blank line between paragraphs."""
+def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None, rare: dict[str, str] | None = None) -> tuple[list[tuple[int, str]], str]:
+    """``(line number, noise)`` of a page and its repaired text, a blank line between paragraphs.
+
+    ``rare``: the words of misread tokens that the lexicon doesn't decide.
+    """
+    rare = rare or {}
     states = label_lines(text, recurs, page_index)
     lines = text.split("\n")
     noise = [(i + 1, STATES[s]) for i, s in enumerate(states) if s in (H, N)]
@@ -341,9 +362,13 @@ def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: i
                 continue
             if i in skip_first and t.start() <= len(line) - len(line.lstrip()) and token.startswith(skip_first[i]):
                 continue
-            if word := lexicon.right(token.strip(_EDGE)):
+            bare = token.strip(_EDGE)
+            word = lexicon.right(bare)
+            if word is None and bare.lower() in rare and _may_be_misread(bare):
+                word = _cased(rare[bare.lower()], bare)
+            if word:
                 misread = True
-                fixed.append(body[at : t.start()] + token.replace(token.strip(_EDGE), word))
+                fixed.append(body[at : t.start()] + token.replace(bare, word))
                 at = t.end()
         fixed.append(body[at:])
         if misread:
@@ -366,32 +391,96 @@ def scanned_pages(patches: DataFrame, route: str = "ocr") -> DataFrame:
     ).dropDuplicates(["patch_id"])
 
 
-def count_words(patches: DataFrame) -> DataFrame:
-    """``(word, n)`` over all originals, counted per Arrow batch before the shuffle."""
+def _odd(text: str) -> list[str]:
+    """Tokens that aren't words but may be misread ones."""
+    tokens = (t.strip(_EDGE).lower() for t in _TOKEN.findall(text) if not t.isalpha())
+    return [t for t in tokens if _may_be_misread(t) and not WORD.fullmatch(t)]
+
+
+def count_tokens(patches: DataFrame, route: str = "ocr") -> DataFrame:
+    """``(word, odd, n, outside)`` over all originals, counted per Arrow batch before the shuffle.
+
+    ``odd``: not a word but a token with other characters; ``outside``: how many aren't on scanned pages.
+    """
+    columns = ["word", "odd", "n", "outside"]
+
+    def rows(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+        everywhere, outside = counts
+        return frame([(word, odd, n, outside[word, odd]) for (word, odd), n in everywhere.items()], columns)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = Counter(), Counter()
         for pdf in batches:
-            for text in pdf["original"]:
-                counts.update(WORD.findall(text.lower()))
-            if len(counts) > 200_000:
-                yield frame(list(counts.items()), ["word", "n"])
-                counts = Counter()
-        yield frame(list(counts.items()), ["word", "n"])
+            for text, source in zip(pdf["original"], pdf["source"]):
+                found = [(w, False) for w in WORD.findall(text.lower())] + [(t, True) for t in _odd(text)]
+                counts[0].update(found)
+                if source != route:
+                    counts[1].update(found)
+            if len(counts[0]) > 200_000:
+                yield rows(counts)
+                counts = Counter(), Counter()
+        yield rows(counts)
 
-    words = patches.where("original is not null").select("original").mapInPandas(count, "word string, n bigint")
-    return words.groupBy("word").agg(F.sum("n").alias("n"))
+    words = patches.where("original is not null").select("original", "source").mapInPandas(count, "word string, odd boolean, n bigint, outside bigint")
+    return words.groupBy("word", "odd").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
 
 
-def lexicon_of(patches: DataFrame, share: float = LEXICON_SHARE) -> tuple[dict[str, int], int]:
+def count_words(patches: DataFrame) -> DataFrame:
+    """``(word, n)`` over all originals."""
+    return count_tokens(patches).where("not odd").select("word", "n")
+
+
+def lexicon_of(counts: DataFrame, share: float = LEXICON_SHARE) -> tuple[dict[str, int], int]:
     """The frequent words, at most ``1 / share`` of them, and the least count of one."""
-    counts = cut(count_words(patches))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    words = counts.where("not odd")
+    total = words.agg(F.sum("n")).first()[0] or 0
     least = max(LEXICON_LEAST, int(share * total))
-    rows = counts.where(F.col("n") >= least).toPandas()
+    rows = words.where(F.col("n") >= least).select("word", "n").toPandas()
     return dict(zip(rows["word"], rows["n"].astype(int))), least
 
 
+def _keys(token: str) -> set[str]:
+    """What a misread token and its word have in common: a skeleton, or after ``=`` the word itself."""
+    out = {skeleton(x) for x in readings(token)}
+    if not token.replace("-", "").isalpha() and sum(map(str.isalpha, token)) >= 3:
+        for i, c in enumerate(token):
+            if not c.isalpha() and c != "-":
+                out |= {f"={token[:i]}{x}{token[i + 1 :]}" for x in "abcdefghijklmnopqrstuvwxyz"}
+    return out
+
+
+def rare_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(token, word)`` of the misread ones among lower-case ``tokens``, by the counts of all tokens.
+
+    The most frequent word alike is at least ``RATIO`` times as frequent as the
+    token. For a token that only scanned pages hold it is enough that the word
+    stands ``LEXICON_LEAST`` times outside them and is that many times as frequent.
+    """
+
+    def token_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield frame([(t, k) for t in pdf["token"] for k in _keys(t)], ["token", "key"])
+
+    def word_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield frame([(k, *row) for row in zip(pdf["word"], pdf["n"], pdf["outside"]) for k in (skeleton(row[0]), f"={row[0]}")], ["key", "word", "n", "outside"])
+
+    words = counts.where((~F.col("odd")) & (F.col("n") >= LEXICON_LEAST)).select("word", "n", "outside")
+    words = words.mapInPandas(word_keys, "key string, word string, n bigint, outside bigint")
+    best = (
+        tokens.mapInPandas(token_keys, "token string, key string")
+        .join(words, "key")
+        .where("word <> token")
+        .groupBy("token")
+        .agg(F.max(F.struct("n", "word", "outside")).alias("best"))
+    )
+    own = counts.groupBy(F.col("word").alias("token")).agg(F.sum("n").alias("own"), F.sum("outside").alias("own_outside"))
+    n = F.col("best.n")
+    scanned_only = (F.coalesce("own_outside", F.lit(0)) == 0) & (F.col("best.outside") >= LEXICON_LEAST) & (n >= LEXICON_LEAST * F.coalesce("own", F.lit(0)))
+    frequent = n >= RATIO * F.greatest(F.coalesce("own", F.lit(0)), F.lit(1))
+    return best.join(own, "token", "left").where(frequent | scanned_only).select("token", F.col("best.word").alias("word"))
+
+
 def recurring_lines(pages: DataFrame) -> DataFrame:
     """``(patch_id, recurs)``: per page the lines that recur in its document, with their strength."""
 
@@ -424,22 +513,37 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
 def _read(patches: DataFrame, schema: str, rows_of) -> DataFrame:
     spark = patches.sparkSession
     pages = cut(scanned_pages(patches))
-    shared = spark.sparkContext.broadcast(lexicon_of(patches))
+    counts = cut(count_tokens(patches))
+    shared = spark.sparkContext.broadcast(lexicon_of(counts))
     made: dict[str, Lexicon] = {}
 
+    def undecided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if "lexicon" not in made:
+            made["lexicon"] = Lexicon(*shared.value)
+        for pdf in batches:
+            rows = []
+            for key, text in zip(pdf["patch_id"], pdf["text"]):
+                tokens = {t.strip(_EDGE) for t in _TOKEN.findall(text)}
+                rows += [(key, t) for t in {t.lower() for t in tokens if made["lexicon"].undecided(t)}]
+            yield frame(rows, ["patch_id", "token"])
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if "lexicon" not in made:
             made["lexicon"] = Lexicon(*shared.value)
         for pdf in batches:
             rows = []
-            for key, text, page, recurs in zip(pdf["patch_id"], pdf["text"], pdf["page"], pdf["recurs"]):
+            for key, text, page, recurs, rare in zip(pdf["patch_id"], pdf["text"], pdf["page"], pdf["recurs"], pdf["rare"]):
                 known = {} if recurs is None else {r["line_no"]: r["strength"] for r in recurs}
-                noise, repaired = read_page(text, known, made["lexicon"], page)
+                noise, repaired = read_page(text, known, made["lexicon"], page, {} if rare is None else {r["token"]: r["word"] for r in rare})
                 rows += rows_of(key, noise, repaired)
             yield frame(rows, [x.split()[0] for x in schema.split(", ")])
 
-    joined = pages.join(recurring_lines(pages), "patch_id", "left").select("patch_id", "text", "page", "recurs")
-    return joined.mapInPandas(read, schema.replace("KEY", dict(patches.dtypes)["patch_id"]))
+    patch = dict(patches.dtypes)["patch_id"]
+    asked = cut(pages.select("patch_id", "text").mapInPandas(undecided, f"patch_id {patch}, token string"))
+    found = asked.join(rare_words(asked.select("token").distinct(), counts), "token")
+    rare = found.groupBy("patch_id").agg(F.collect_list(F.struct("token", "word")).alias("rare"))
+    joined = pages.join(recurring_lines(pages), "patch_id", "left").join(rare, "patch_id", "left").select("patch_id", "text", "page", "recurs", "rare")
+    return joined.mapInPandas(read, schema.replace("KEY", patch))
 
 
 def page_noise(patches: DataFrame) -> DataFrame:

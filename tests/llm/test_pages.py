@@ -51,3 +51,14 @@ def test_frame(spark):
 def test_words_are_counted(spark):
     df = spark.createDataFrame([(1, "d", 0, "The the well-defined x1", "vlm", 0, ""), (2, "d", 0, None, "vlm", 0, "")], PATCH)
     assert {r.word: r.n for r in P.count_words(df).collect()} == {"the": 2, "well-defined": 1, "x": 1}
+
+
+def test_rare_words(spark):
+    body = "The plain model of the velsin was weak."
+    rows = [(i, "d", i, f"{body} {'the ' * 100}", "vlm", 1, "x") for i in range(6)]
+    rows += [(20 + i, "e", i, "He'd say it. He'd go. A head and a heed of it. A held herd.", "vlm", 1, "x") for i in range(4)]
+    rows += [(50, "s", 0, "It was so for the ve1sin and the vclsin of it.", "ocr", 1, "x"), (51, "s", 1, "It was so as he'd say of the velsin.", "ocr", 1, "x")]
+    df = spark.createDataFrame(rows, PATCH)
+    assert {(r.patch_id, r.line_no, r.noise) for r in P.page_noise(df).collect()} == {(50, 1, "misread")}
+    repaired = {r.patch_id: r.repaired for r in P.repaired_pages(df).collect()}
+    assert repaired[50] == "It was so for the velsin and the velsin of it." and repaired[51] == rows[-1][3]

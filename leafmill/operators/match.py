@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.session import cut
 
 HEAD = 24
+_IMAGE_ONLY = r"^\s*!\[[^\]]*\]\([^)]+\)\s*$"
 
 
 def first_block(heads: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -150,24 +152,55 @@ def latest_patches(patches: DataFrame, fields: list[str]) -> DataFrame:
 def attach_segments(paragraphs: DataFrame, raw: DataFrame, reach: int = 2, most: int = 12) -> DataFrame:
     """Consuming match of paragraphs to raw blocks of pages p..p+``reach``: ``doc_id, page, block_id, segments``.
 
-    The state, blocks used so far, couples all of a document, so the group is
-    the document's window of pages: paragraphs of a page with the raw blocks
-    they can reach. Blocks used by an earlier page aren't offered to a later
-    one: each raw block goes to the first paragraph, in order, that holds it.
+    The first segment is the anchor, ``first_block`` of the paragraph's head; an
+    anchor isn't consumed. From its end on a cursor takes, in order, the later
+    raw blocks (8 characters or more) that no paragraph before has taken, up to
+    ``most`` segments. Paragraphs without an anchor get no row.
+
+    The blocks taken so far couple the paragraphs of a document, but only those
+    that some raw block could continue alike. A document is folded in chains of
+    pages that share such blocks, so that a large one isn't a single task.
     """
-    p = paragraphs.select("doc_id", "page", "block_id", X.alnum_norm(F.col("original")).alias("n")).where(F.length("n") >= 4)
-    r = raw.select("doc_id", F.col("page").alias("raw_page"), "ordinal", X.alnum_norm(F.col("text")).alias("t")).where(F.length("t") >= 8)
-    held = (
-        p.join(r, "doc_id")
-        .where(F.col("raw_page").between(F.col("page"), F.col("page") + reach) & F.contains(F.col("n"), F.col("t")))
-        .groupBy("doc_id", "raw_page", "ordinal")
-        .agg(F.min(F.struct("page", "block_id")).alias("owner"))
-    )
-    segment = F.array_sort(F.collect_list(F.struct("raw_page", "ordinal")))
-    return (
-        held.groupBy("doc_id", F.col("owner.page").alias("page"), F.col("owner.block_id").alias("block_id"))
-        .agg(F.slice(segment, 1, most).alias("segments"))
-    )
+    key = ["doc_id", "page", "block_id"]
+    p = paragraphs.where(~F.coalesce("original", F.lit("")).rlike(_IMAGE_ONLY)).select(*key, X.alnum_norm(F.col("original")).alias("n")).where("n <> ''")
+    r = raw.select("doc_id", F.col("page").alias("raw_page"), "ordinal", X.alnum_norm(F.col("text")).alias("t"))
+    heads = p.select("doc_id", "page", F.col("block_id").alias("head_id"), F.left("n", F.lit(HEAD)).alias("text"))
+    hits = first_block(heads, raw.withColumnRenamed("ordinal", "block_id")).where("match is not null")
+    hits = hits.select("doc_id", "page", F.col("head_id").alias("block_id"), F.col("page").alias("raw_page"), F.col("match").alias("ordinal"))
+    start = F.greatest(F.expr("instr(n, t)") - 1, F.lit(0)) + F.length("t")
+    anchored = cut(p.join(hits, key).join(r, ["doc_id", "raw_page", "ordinal"]).select(*key, "n", "ordinal", start.alias("start")))
+    spread = anchored.where(F.col("start") < F.length("n")).select(*key, "n", "start", F.explode(F.sequence(F.col("page"), F.col("page") + reach)).alias("raw_page"))
+    later = spread.join(r.where(F.length("t") >= 8), ["doc_id", "raw_page"]).where(F.contains(F.substr("n", F.col("start") + 1), F.col("t")))
+    far = F.max("page").over(Window.partitionBy("doc_id", "raw_page", "ordinal"))
+    later = cut(later.withColumn("far", far))
+    before = Window.partitionBy("doc_id").orderBy("page")
+    open_to = F.max("far").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    pages = later.groupBy("doc_id", "page").agg(F.max("far").alias("far")).withColumn("fresh", F.coalesce(open_to < F.col("page"), F.lit(True)).cast("long"))
+    chains = pages.select("doc_id", "page", F.sum("fresh").over(before).alias("chain"))
+    each = later.groupBy(*key).agg(F.first("n").alias("n"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("raw_page", "ordinal", "t"))).alias("later"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for doc, page, block, n, at, candidates in pdf.sort_values(["page", "block_id"])[[*key, "n", "start", "later"]].itertuples(index=False, name=None):
+            taken = []
+            for c in candidates:
+                if at >= len(n) or len(taken) + 1 >= most:
+                    break
+                place = (c["raw_page"], c["ordinal"])
+                if place in used or (found := n.find(c["t"], at)) < 0:
+                    continue
+                used.add(place)
+                taken.append(place)
+                at = found + len(c["t"])
+            out.append((doc, page, block, taken))
+        return pd.DataFrame(out, columns=[*key, "taken"], dtype=object)
+
+    types = dict(paragraphs.dtypes)
+    place = f"struct<raw_page: {types['page']}, ordinal: {dict(raw.dtypes)['ordinal']}>"
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + f", taken array<{place}>"
+    taken = each.join(chains, ["doc_id", "page"]).groupBy("doc_id", "chain").applyInPandas(fold, schema)
+    anchor = F.array(F.struct(F.col("page").alias("raw_page"), "ordinal"))
+    return anchored.join(taken, key, "left").select(*key, F.concat(anchor, F.coalesce("taken", F.array().cast(f"array<{place}>"))).alias("segments"))
 
 
 def split_title_runs(blocks: DataFrame, titles: DataFrame) -> DataFrame:

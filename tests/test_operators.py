@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,46 @@ def test_upsert(spark):
     new = spark.createDataFrame([("a", "A2", None, None), (" ", "x", None, None), ("c", "C", None, "2")], schema)
     got = sorted(tuple(r) for r in L.upsert(old, new).collect())
     assert got == [("a", "A2", "f", "1", 0), ("b", "B", None, "1", 1), ("c", "C", None, "2", 0)]
+
+
+def attached(paragraphs, raw):
+    """Brute force over one document: ``{(page, block_id): segments}``."""
+    norm = lambda t: re.sub("[^a-z0-9]+", "", (t or "").lower())
+    alpha = lambda t: re.sub("[^a-z]+", "", t)
+    texts, used, out = {}, set(), {}
+    for page, i, text in sorted(raw):
+        texts.setdefault(page, []).append((i, norm(text)))
+    for page, block, text in sorted(paragraphs):
+        n = norm(text)
+        h = n[:24]
+        like = lambda a, t: t and (a in t or len(t) >= 4 and a.startswith(t[:24]))
+        hits = [(i, t) for i, t in texts.get(page, []) if like(h, t)] or [(i, t) for i, t in texts.get(page, []) if len(alpha(h)) >= 12 and like(alpha(h), alpha(t))]
+        if len(h) < 4 or not hits:
+            continue
+        at = max(n.find(hits[0][1]), 0) + len(hits[0][1])
+        found = [(page, hits[0][0])]
+        for q in (page, page + 1, page + 2):
+            for i, t in texts.get(q, []):
+                if at < len(n) and len(found) < 12 and len(t) >= 8 and (q, i) not in used and (k := n.find(t, at)) >= 0:
+                    used.add((q, i))
+                    found.append((q, i))
+                    at = k + len(t)
+        out[page, block] = found
+    return out
+
+
+def test_segments(spark):
+    piece = lambda i: f"piece number {i:03d} of it"
+    long = " ".join(["The opening of the text", *map(piece, range(14))])
+    paragraphs = [(0, 0, "Scope"), (0, 1, "The head of a longer"), (0, 2, long), (0, 3, f"{piece(13)} {piece(12)}"), (0, 4, "![a](b.png)"), (0, 5, None), (1, 0, f"{piece(12)} and {piece(13)}")]
+    raw = [(0, 0, "Scope"), (0, 1, "The head of a longer block that goes on"), (0, 2, "The opening of the text"), *[(0, 3 + i, piece(i)) for i in range(14)], (1, 0, piece(12)), (1, 1, piece(13)), (1, 2, "short")]
+    rng = random.Random(3)
+    words = [f"{a}{b} word{a}" for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "three")]
+    more = [(p, b, " ".join(rng.choices(words, k=rng.randint(1, 16)))) for p in range(12) for b in range(3)]
+    blocks = [(p, b, " ".join(rng.choices(words, k=rng.choice((1, 1, 2))))) for p in range(14) for b in range(5)]
+    docs = {"d": (paragraphs, raw), "e": (more, blocks)}
+    left = spark.createDataFrame([(d, *x) for d, (a, _) in docs.items() for x in a], "doc_id string, page int, block_id int, original string")
+    right = spark.createDataFrame([(d, *x) for d, (_, b) in docs.items() for x in b], "doc_id string, page int, ordinal int, text string")
+    got = {(r.doc_id, r.page, r.block_id): [tuple(s) for s in r.segments] for r in J.attach_segments(left, right).collect()}
+    assert got == {(d, *k): v for d, x in docs.items() for k, v in attached(*x).items()}
+    assert got["d", 0, 0] == [(0, 0)] and got["d", 0, 1] == [(0, 1)] and len(got["d", 0, 2]) == 12 and ("d", 0, 4) not in got

@@ -61,3 +61,62 @@ def order_score(text: Column, pairs: Column) -> Column:
     seen = F.filter(pairs, lambda p: F.contains(text, p["left"]) & F.contains(text, p["right"]))
     right = F.filter(seen, lambda p: F.position(p["left"], text) < F.position(p["right"], text))
     return F.when(F.size(seen) > 0, F.size(right) / F.size(seen))
+
+
+def _longest_match(a: str, b: str) -> tuple[int, int, int]:
+    """``(start in a, start in b, length)`` of the longest common block, the first in ``a``, then in ``b``, by a suffix automaton of ``b``."""
+    follow: list[dict[str, int]] = [{}]
+    link, length, first = [-1], [0], [-1]
+    last = 0
+    for i, c in enumerate(b):
+        now = len(follow)
+        follow.append({})
+        length.append(length[last] + 1)
+        first.append(i)
+        link.append(0)
+        p, last = last, now
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if length[q] != length[p] + 1:
+                copy = len(follow)
+                follow.append(dict(follow[q]))
+                length.append(length[p] + 1)
+                first.append(first[q])
+                link.append(link[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[now] = q
+    at = size = 0
+    best = (0, 0, 0)
+    for i, c in enumerate(a):
+        while at and c not in follow[at]:
+            at = link[at]
+            size = length[at]
+        if c in follow[at]:
+            at = follow[at][c]
+            size += 1
+            if size > best[2]:
+                best = (i - size + 1, first[at] - size + 1, size)
+    return best
+
+
+def similarity(a: str, b: str) -> float:
+    """``difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()``, a longest match taking linear time."""
+    if a == b:
+        return 1.0
+    matched, parts = 0, [(a, b)]
+    while parts:
+        x, y = parts.pop()
+        if not x or not y:
+            continue
+        i, j, n = _longest_match(x, y)
+        if n:
+            matched += n
+            parts += [(x[:i], y[:j]), (x[i + n :], y[j + n :])]
+    return 2.0 * matched / (len(a) + len(b))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -238,11 +236,15 @@ def agg_a20_widths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def agg_a24_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequence similarity of a patch with its block, and their ratio of lengths."""
+    """Sequence similarity of a patch with its block, and their ratio of lengths.
+
+    Frequent characters count like all others, in long texts too; the
+    reference's default call leaves them out from 200 characters on.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).quick_ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([M.similarity(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
     key = ["doc_id", "page", "block_id"]
     p = table(spark, sf, "block_patch").where("original is not null").select("patch_id", *key, "original").dropDuplicates(["patch_id"])

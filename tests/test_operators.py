@@ -1,12 +1,16 @@
+import difflib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from leafmill.operators import match as J
+from leafmill.operators import metrics as M
 from leafmill.operators import sequence as W
 from leafmill.operators import spatial as S
 from leafmill.operators import library as L
+from leafmill.plans import pages
 
 
 def test_merge_golden():
@@ -155,3 +159,17 @@ def test_segments(spark):
     got = {(r.doc_id, r.page, r.block_id): [tuple(s) for s in r.segments] for r in J.attach_segments(left, right).collect()}
     assert got == {(d, *k): v for d, x in docs.items() for k, v in attached(*x).items()}
     assert got["d", 0, 0] == [(0, 0)] and got["d", 0, 1] == [(0, 1)] and len(got["d", 0, 2]) == 12 and ("d", 0, 4) not in got
+
+
+def test_similarity(spark, tmp_path):
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abc ä", k=rng.randint(0, 40))) for _ in range(2))
+        assert M.similarity(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    began, long = time.time(), "".join(rng.choices("abcdefgh ", k=50_000))
+    assert M.similarity(long, long[30_000:] + long[:30_000]) >= 0.6 and time.time() - began < 30
+    schema = "patch_id bigint, doc_id string, page int, block_id int, original string, translated string, bbox array<double>"
+    spark.createDataFrame([(1, "d", 0, 0, "left column right column", None, None), (2, "d", 0, 1, "same", None, None)], schema).write.parquet(f"{tmp_path}/block_patch.parquet")
+    spark.createDataFrame([(0, "d", 0, 0, "right column left column", None, None), (0, "d", 0, 1, "same", None, None)], schema).write.parquet(f"{tmp_path}/block.parquet")
+    got = {r.patch_id: r.similarity for r in pages.agg_a24_similarity(spark, str(tmp_path)).collect()}
+    assert got[2] == 1.0 and got[1] == round(difflib.SequenceMatcher(None, "left column right column", "right column left column").ratio(), 5) < 1

@@ -1,4 +1,4 @@
-"""Queries on printed lines, words and jobs; the lines are the scanned pages' with a stated print."""
+"""Queries on printed lines, words and jobs; the lines are the blocks' with a stated print."""
 
 from __future__ import annotations
 
@@ -33,9 +33,21 @@ def query(sql: str | None = None):
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of scanned pages; size, weight and place follow from their number and length."""
+    """Lines of the first block of each page, as the checking SQL has them."""
     rows = tables.one_per_block(spark, sf).where("block_id = 0 and original is not null")
-    rows = rows.select("doc_id", "page", F.posexplode(F.split("original", "\n", -1)).alias("pos", "text"))
+    return printed(rows.select("doc_id", "page", F.posexplode(F.split("original", "\n", -1)).alias("pos", "text")))
+
+
+def all_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all blocks, numbered through each page."""
+    rows = tables.one_per_block(spark, sf).where("original is not null")
+    rows = rows.select("doc_id", "page", "block_id", F.posexplode(F.split("original", "\n", -1)).alias("line", "text"))
+    pos = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("block_id", "line")) - 1
+    return printed(rows.select("doc_id", "page", pos.alias("pos"), "text"))
+
+
+def printed(rows: DataFrame) -> DataFrame:
+    """Lines with size, weight and place, which follow from their number and length."""
     n = F.length("text")
     return rows.select(
         "doc_id", "page", "pos", "text", F.when(n % 11 == 0, 14.0).when(n % 7 == 0, 8.0).otherwise(10.0).alias("size"), (n % 3 == 0).alias("bold"),
@@ -96,7 +108,7 @@ def seq_w06_titles(spark: SparkSession, sf: str) -> DataFrame:
 def topk_o11_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric title, agreed with the index's."""
     meta = L.newest(table(spark, sf, "doc_index")).select("doc_id", F.col("title").alias("meta"))
-    return meta.join(P.geometric_titles(lines(spark, sf)), "doc_id", "left").select("doc_id", P.agreed_title(F.col("title"), F.col("meta")).alias("title"))
+    return meta.join(P.geometric_titles(all_lines(spark, sf)), "doc_id", "left").select("doc_id", P.agreed_title(F.col("title"), F.col("meta")).alias("title"))
 
 
 @query(f"SELECT doc_id, page, pos, round(length(trim(text, ' ')) * bold::int / greatest(length(trim(text, ' ')), 1), 5)::double AS ratio FROM {LINES}")
@@ -104,9 +116,9 @@ def norm_n29_bold_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return P.bold_ratio(lines(spark, sf), ["doc_id", "page", "pos"]).withColumn("ratio", F.round("ratio", 5))
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
+def words(rows: DataFrame) -> DataFrame:
     """Words of lines, six points a letter and four more before every fifth word."""
-    rows = lines(spark, sf).select("doc_id", "page", "pos", "y0", F.posexplode(F.split("text", " ", -1)).alias("k", "word")).where("word <> ''")
+    rows = rows.select("doc_id", "page", "pos", "y0", F.posexplode(F.split("text", " ", -1)).alias("k", "word")).where("word <> ''")
     x0 = F.col("k") * 60.0
     return rows.select("doc_id", "page", "pos", "k", "word", x0.alias("x0"), (x0 + F.least(F.length("word") * 6.0, F.lit(58.0))).alias("x1"), "y0", (F.col("y0") + 10).alias("y1"))
 
@@ -116,12 +128,12 @@ WITH w AS (SELECT doc_id, page, pos, k, word, k * 60.0 AS x0, k * 60.0 + least(l
 SELECT doc_id, page, pos, k, sum(CASE WHEN gap IS NULL OR gap > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, pos ORDER BY x0, x1) AS segment
 FROM (SELECT *, x0 - max(x1) OVER (PARTITION BY doc_id, page, pos ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM w)""")
 def seq_w08_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return P.segments(words(spark, sf), ["doc_id", "page", "pos"]).select("doc_id", "page", "pos", "k", "segment")
+    return P.segments(words(lines(spark, sf)), ["doc_id", "page", "pos"]).select("doc_id", "page", "pos", "k", "segment")
 
 
 @query()
 def seq_w09_tables(spark: SparkSession, sf: str) -> DataFrame:
-    regions_ = words(spark, sf).withColumn("region", F.floor(F.col("pos") / 12).cast("int"))
+    regions_ = words(all_lines(spark, sf)).withColumn("region", F.floor(F.col("pos") / 12).cast("int"))
     return P.region_tables(regions_)
 
 
@@ -150,7 +162,7 @@ def spatial_j12_clamped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def match_j06_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lines(spark, sf)
+    rows = all_lines(spark, sf)
     norm = X.alnum_norm(F.col("text"))
     found = P.heading_levels(rows).join(rows, ["doc_id", "page", "pos"]).where("page = 0").groupBy("doc_id", norm.alias("norm")).agg(F.min("level").alias("level"))
     small = P.small_print(rows).select("doc_id", norm.alias("norm"))

@@ -3,7 +3,9 @@
 A hidden Markov model labels the segments of a page as prose, link list, tag
 list or menu; a page whose words lie mostly in the three other states is spam.
 Emissions are rates per word: function words, links, product tags and
-commercial phrases, repetition; Viterbi over sticky transitions.
+commercial phrases, and the share of repeated content words, in each segment
+and together with its neighbours, which tells keywords in frames of function
+words from sentences; Viterbi over sticky transitions.
 
 Null and empty pages aren't spam: they have no words.
 """
@@ -11,7 +13,6 @@ Null and empty pages aren't spam: they have no words.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,30 +48,58 @@ FUNCTION_WORDS = frozenset(
 )
 CHINESE_FUNCTION = frozenset("的了是在我们你他她这那和与也不都就还有而但如果为因所以及当时被把对从到于其只会能要没")
 
-# What shop and keyword lists are made of.
-COMMERCIAL = re.compile(
-    r"\b(?:buy|cheap(?:est)?|sale|for sale|discount(?:s|ed)?|coupon(?: code)?|free shipping|best price|price|online|near me|wholesale|outlet"
-    r"|top \d+|review(?:s)?|original|replacement|deal(?:s)?|offer(?:s)?|shop|store|order now|kaufen|günstig|billig|angebot|rabatt|versandkostenfrei"
-    r"|acheter|pas cher|promo|soldes?|livraison gratuite|remise|meilleur prix)\b|购买|便宜|优惠|打折|批发|包邮|特价|热卖|折扣",
-    re.IGNORECASE,
+# What shop and keyword lists are made of, by single words and by pairs (second word: first word).
+COMMERCIAL = frozenset(
+    (
+        "buy cheap cheapest sale discount discounts discounted coupon price online wholesale outlet review reviews original"
+        " replacement deal deals offer offers shop store kaufen bestellen günstig billig angebot rabatt versandkostenfrei testsieger"
+        " acheter promo solde soldes remise avis"
+    ).split()
 )
+COMMERCIAL_PAIRS = {"shipping": "free", "me": "near", "now": "order", "gratis": "versand", "cher": "pas", "gratuite": "livraison", "prix": "meilleur"}
+CHINESE_COMMERCIAL = re.compile("购买|便宜|优惠|打折|批发|包邮|特价|热卖|折扣|哪里买|厂家|正品|价格")
+_TOP = re.compile(r"\btop \d+", re.IGNORECASE)
 PRODUCT_TAG = re.compile(
-    r"(?<!\w)(?:#[\w-]+|tag:[\w-]+|SKU[-:]?\d+|\d+[.,]\d\d\b|[€$£]\s?\d+|XXS|XS|S|M|L|XL|XXL|\d+(?:[.,]\d+)?\s?(?:cm|mm|in|kg|ml)\b|\d/\d\s?in\b|\d+-pack|refurb|boxed)(?!\w)",
+    r"(?<!\w)(?:#[\w-]+|tag:[\w-]+|SKU[-:]?\d+|\d+[.,]\d\d\b|[€$£]\s?\d+|(?-i:XXS|XS|S|M|L|XL|XXL)|\d+(?:[.,]\d+)?\s?(?:cm|mm|in|kg|ml)\b|\d/\d\s?in\b|\d+-pack|refurb|boxed)(?!\w)",
     re.IGNORECASE,
 )
 _LINK_HINTS = ("://", "www.", "WWW.", "<a ", "<A ", "[url", "[URL", "](")
 _ENDED = re.compile(r"[.!?。！？…:][\"'”)\]]*\s*$")
-_NOT_FUNCTION = lambda w: w not in FUNCTION_WORDS
 _MENU_MARK = re.compile(r"[|›»>•·/]\s")
 
 # Transition log weights: lists and prose both go on for a while.
 _STAY, _LEAVE = 0.0, -1.2
 
+# Content words are compared in stretches of this many, so that long segments don't look repetitive by their length.
+STRETCH = 40
+# Share of repeated content words at which sentences begin and cease to be credible.
+REPEAT_FROM, REPEAT_TO = 0.3, 0.5
+
+
+def commerce(low: list[str]) -> int:
+    """Number of commercial words and pairs among lower-case words."""
+    n = 0 if COMMERCIAL.isdisjoint(low) else sum(map(COMMERCIAL.__contains__, low))
+    if not COMMERCIAL_PAIRS.keys().isdisjoint(low):
+        n += sum(COMMERCIAL_PAIRS.get(b) == a for a, b in zip(low, low[1:]))
+    return n
+
+
+def repetition(content: list[str]) -> float:
+    """Share of content words that repeat one of their stretch; one word more than there are counts as new."""
+    n = len(content)
+    if n < 4:
+        return 0.0
+    if n <= STRETCH * 3 // 2:
+        return 1 - (len(set(content)) + 1) / (n + 1)
+    size = -(-n // max(1, round(n / STRETCH)))
+    starts = range(0, n, size)
+    return 1 - (sum(len(set(content[i : i + size])) for i in starts) + len(starts)) / (n + len(starts))
+
 
 class Segment:
     """One line, or one sentence of a line of prose, with its counts."""
 
-    __slots__ = ("words", "function", "links", "tags", "commercial", "ended", "menu", "repeated")
+    __slots__ = ("words", "function", "links", "tags", "commercial", "ended", "menu", "content", "repeated", "stuffed")
 
     def __init__(self, text: str):
         links = _LINK.findall(text) if any(x in text for x in _LINK_HINTS) else []
@@ -79,30 +108,28 @@ class Segment:
         if any(x in rest for x in "<[&*_"):
             rest = _MARKUP.sub(" ", rest)
         low = _WORD.findall(rest.lower())
-        function = 0
+        content = [w for w in low if w not in FUNCTION_WORDS]
+        function: float = len(low) - len(content)
         ideographs = 0
-        if rest.isascii():
-            function = len(low) - sum(map(_NOT_FUNCTION, low))
-        else:
+        self.commercial = commerce(low) + sum(commerce(_WORD.findall(x.lower())) for x in links) + len(_TOP.findall(rest))
+        if not rest.isascii():
             ideographs = sum("一" <= w <= "鿿" for w in low)
-            # two ideographs are about one word
-            function = sum(w in FUNCTION_WORDS for w in low) + sum(w in CHINESE_FUNCTION for w in low) / 2
+            if ideographs:
+                # two ideographs are about one word
+                own = [w for w in content if w not in CHINESE_FUNCTION]
+                function += (len(content) - len(own)) / 2
+                content = own
+                self.commercial += len(CHINESE_COMMERCIAL.findall(rest))
         # a link weighs as its shown words and one more
         self.words = len(low) - ideographs / 2 + anchors + len(links)
         self.links = len(links) + anchors
         self.function = function
         self.ended = bool(_ENDED.search(rest[-12:]))
-        self.tags = self.commercial = self.menu = 0
-        self.repeated = 0.0
-        # a segment full of function words is prose whatever it offers
-        if function >= 0.25 * self.words and not links:
-            return
         self.tags = len(PRODUCT_TAG.findall(rest))
-        self.commercial = len(COMMERCIAL.findall(rest)) + sum(len(COMMERCIAL.findall(x)) for x in links)
         self.menu = len(_MENU_MARK.findall(rest))
-        counts = Counter(w for w in low if w not in FUNCTION_WORDS and not w.isdigit())
-        total = sum(counts.values())
-        self.repeated = 1 - len(counts) / total if total > 3 else 0.0
+        self.content = [w for w in content if not w.isdigit()]
+        self.repeated = repetition(self.content)
+        self.stuffed = self.repeated
 
     def scores(self) -> tuple[float, float, float, float]:
         """Log emission weights of the four states, up to a constant."""
@@ -110,9 +137,15 @@ class Segment:
         function, links, tags = self.function / n, self.links / n, self.tags / n
         shop, menu = self.commercial / n, self.menu / n
         long = min(1.0, n / 6)
-        prose = 6.0 * min(function, 0.3) / 0.3 * long + (1.5 if self.ended else 0.0) - 8.0 * links - 6.0 * tags - 4.0 * shop
+        # frames of function words around the same few words aren't sentences
+        stuffed = min(1.0, max(0.0, (self.stuffed - REPEAT_FROM) / (REPEAT_TO - REPEAT_FROM)))
+        frame_ = function * (1 - stuffed)
+        prose = 6.0 * min(function, 0.3) / 0.3 * long + (1.5 if self.ended else 0.0) - 8.0 * links - 6.0 * tags - 4.0 * shop - 10.0 * stuffed
         link_list = 9.0 * links - 8.0 * function - (0.5 if not self.links else 0.0) - 1.0
-        tag_list = 9.0 * min(0.5, tags) / 0.5 + 8.0 * min(0.4, shop) / 0.4 + 4.0 * self.repeated - 14.0 * function - (1.0 if self.ended else 0.0) - 1.0
+        tag_list = (
+            9.0 * min(0.5, tags) / 0.5 + 8.0 * min(0.4, shop) / 0.4 + 4.0 * self.repeated + 4.0 * stuffed - 14.0 * frame_
+            - (1.0 if self.ended else 0.0) - 1.0
+        )
         menu_list = 7.0 * min(0.4, menu) / 0.4 - 10.0 * function - 2.0 - (1.0 if self.ended else 0.0)
         return prose, link_list, tag_list, menu_list
 
@@ -127,6 +160,13 @@ def segments(text: str) -> list[Segment]:
             s = Segment(part)
             if s.words:
                 out.append(s)
+    # words may be repeated from sentence to sentence; neighbours count where both speak and sell
+    selling = [bool(s.commercial and s.function) for s in out]
+    for i in range(len(out) - 1):
+        if selling[i] and selling[i + 1]:
+            a, b = out[i], out[i + 1]
+            both = repetition(a.content + b.content)
+            a.stuffed, b.stuffed = max(a.stuffed, both), max(b.stuffed, both)
     return out
 
 

@@ -21,6 +21,35 @@ def test_pages(text, spam):
     assert (sum(shares[1:]) > S.SPAM_SHARE) is spam
 
 
+FRAMES = [
+    "if you want pump sale then the pump of the pump is the cheap pump is the pump for you and with pump outlet and the pump and a pump because pump is pump",
+    "wer pumpe günstig sucht, der findet pumpe und die pumpe der pumpe kaufen ist für pumpe und mit pumpe billig und pumpe und noch pumpe",
+    "si vous cherchez pompe pas cher dans pompe alors pompe et le pompe promo est pour la pompe avec pompe soldes et pompe et de la pompe",
+    "想要水泵批发就有水泵和水泵，水泵的水泵是水泵包邮，水泵优惠就是水泵，便宜水泵就是水泵，想要水泵价格就有水泵和水泵",
+]
+
+
+@pytest.mark.parametrize("text", FRAMES + [x.upper() for x in FRAMES] + [f"> {PROSE}\n{x}\n-- \nold_hand" for x in FRAMES] + [". ".join([x] * 3) for x in FRAMES])
+def test_keywords_in_frames(text):
+    assert sum(S.word_shares(text)[1:]) > S.SPAM_SHARE
+
+
+def test_sentences_that_repeat_themselves():
+    log = "\n".join(f"1{i}:31 temp={600 + i} fan=off" for i in range(9))
+    alike = " ".join(f"The bank felt {w} near the back wall, and it stayed that way." for w in ("springy", "flimsy", "bulky", "loose"))
+    advert = "I sell the pump that I have used for two years, the price is 40 and it comes with a spare seal. Write to me if you want it."
+    for text in (alike, advert, f"{alike}\n[code]\n{log}\n[/code]\n{PROSE}"):
+        assert sum(S.word_shares(text)[1:]) <= S.SPAM_SHARE
+
+
+def test_repetition():
+    assert S.repetition([]) == S.repetition(["a", "a", "a"]) == 0
+    assert S.repetition(list("abcdefgh")) == 0
+    assert S.repetition(["a"] * 9) == pytest.approx(0.8)
+    # a long text of many different words isn't repetitive, whatever its length
+    assert S.repetition([f"w{i % 300}" for i in range(9000)]) == 0
+
+
 def test_frame(spark):
     bad = "cheap pump, buy pump online, pump for sale, best pump price"
     df = spark.createDataFrame([(1, PROSE, 0, "", 0), (2, bad, 0, "", 0), (2, bad, 0, "", 0), (3, None, 0, "", 0), (4, "", 0, "", 0), (None, bad, 0, "", 0)], SCHEMA)

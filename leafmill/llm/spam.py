@@ -63,6 +63,9 @@ PRODUCT_TAG = re.compile(
     r"(?<!\w)(?:#[\w-]+|tag:[\w-]+|SKU[-:]?\d+|\d+[.,]\d\d\b|[€$£]\s?\d+|(?-i:XXS|XS|S|M|L|XL|XXL)|\d+(?:[.,]\d+)?\s?(?:cm|mm|in|kg|ml)\b|\d/\d\s?in\b|\d+-pack|refurb|boxed)(?!\w)",
     re.IGNORECASE,
 )
+# every product tag holds one of these
+_TAG_SIGN = re.compile(r"[#€$£\d]")
+_TAG_WORDS = frozenset("tag xxs xs s m l xl xxl refurb boxed".split())
 _LINK_HINTS = ("://", "www.", "WWW.", "<a ", "<A ", "[url", "[URL", "](")
 _ENDED = re.compile(r"[.!?。！？…:][\"'”)\]]*\s*$")
 _MENU_MARK = re.compile(r"[|›»>•·/]\s")
@@ -101,17 +104,21 @@ class Segment:
 
     __slots__ = ("words", "function", "links", "tags", "commercial", "ended", "menu", "content", "repeated", "stuffed")
 
-    def __init__(self, text: str):
-        links = _LINK.findall(text) if any(x in text for x in _LINK_HINTS) else []
+    def __init__(self, text: str, linked: bool = True, marked: bool = True):
+        links = _LINK.findall(text) if linked else []
         rest = _LINK.sub(" ", text) if links else text
         anchors = sum(max(1, len(_WORD.findall(_ANCHOR.sub(" ", x)))) for x in links)
-        if any(x in rest for x in "<[&*_"):
+        if marked:
             rest = _MARKUP.sub(" ", rest)
         low = _WORD.findall(rest.lower())
         content = [w for w in low if w not in FUNCTION_WORDS]
         function: float = len(low) - len(content)
         ideographs = 0
-        self.commercial = commerce(low) + sum(commerce(_WORD.findall(x.lower())) for x in links) + len(_TOP.findall(rest))
+        self.commercial = commerce(low)
+        for x in links:
+            self.commercial += commerce(_WORD.findall(x.lower()))
+        if "top" in low:
+            self.commercial += len(_TOP.findall(rest))
         if not rest.isascii():
             ideographs = sum("一" <= w <= "鿿" for w in low)
             if ideographs:
@@ -125,7 +132,7 @@ class Segment:
         self.links = len(links) + anchors
         self.function = function
         self.ended = bool(_ENDED.search(rest[-12:]))
-        self.tags = len(PRODUCT_TAG.findall(rest))
+        self.tags = len(PRODUCT_TAG.findall(rest)) if _TAG_SIGN.search(rest) or not _TAG_WORDS.isdisjoint(low) else 0
         self.menu = len(_MENU_MARK.findall(rest))
         self.content = [w for w in content if not w.isdigit()]
         self.repeated = repetition(self.content)
@@ -153,11 +160,13 @@ class Segment:
 def segments(text: str) -> list[Segment]:
     """Lines, cut into sentences; a line without sentences stays whole."""
     out = []
-    for line in _BREAK.split(text):
+    linked = any(x in text for x in _LINK_HINTS)
+    marked = any(x in text for x in "<[&*_")
+    for line in _BREAK.split(text) if marked else text.split("\n"):
         if not line or line.isspace():
             continue
         for part in _SENTENCE.split(line) if len(line) > 60 else (line,):
-            s = Segment(part)
+            s = Segment(part, linked, marked)
             if s.words:
                 out.append(s)
     # words may be repeated from sentence to sentence; neighbours count where both speak and sell
@@ -174,9 +183,13 @@ def label(parts: list[Segment]) -> list[int]:
     """Viterbi path through the four states."""
     if not parts:
         return []
-    score, back = list(parts[0].scores()), []
-    for s in parts[1:]:
-        emitted = s.scores()
+    emissions = [s.scores() for s in parts]
+    firsts = [e.index(max(e)) for e in emissions]
+    if firsts.count(firsts[0]) == len(firsts):
+        # where every segment prefers the same state, no path is better than staying in it
+        return firsts
+    score, back = list(emissions[0]), []
+    for emitted in emissions[1:]:
         best = max(score)
         at = score.index(best)
         now, prior = [], []

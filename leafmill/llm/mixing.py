@@ -3,15 +3,19 @@
 Weighted fair queueing. Within each source and pass the documents are
 shuffled by a hash; a document's virtual finish time is the cumulative token
 count of its source, over all passes so far, divided by the target weight.
-All records are range-sorted by finish time and cut at the total budget.
+All records are range-sorted by finish time and cut at the total budget. A
+source that has used up its passes leaves the queue and the others go on, in
+proportion to their weights, until the budget is spent.
 
-Running totals are taken in two levels, over hash buckets and inside them, so
-that no source and no part of the order has to fit in one task.
+Running totals are taken in two levels, over hash buckets or slices of finish
+time and inside them, so that no source and no part of the order has to fit in
+one task; their number grows with the records.
 
 Documents without a source, with an unknown source, or with null text are left
 out; an empty text costs no tokens. Every source is repeated at most
-``max_repeat`` times (null counts as once). The default budget is the largest
-that lets every source with documents reach its share.
+``max_repeat`` times (null counts as once). The default budget is
+``BUDGET_SHARE`` of the tokens that the target sources have; ``largest_budget``
+gives the one beyond which some source falls short of its share.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ from leafmill.session import cut
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that goes with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 4096
+# The budget, as a share of the tokens of all target sources, where none is given.
+BUDGET_SHARE = 0.4
+# Records in a bucket or slice, on average.
+PER_BUCKET = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -76,12 +83,12 @@ def sized(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) ->
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: weight, repeat cap and available tokens."""
-    have = sizes.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("docs"))
+    """Per target source: weight, repeat cap, available tokens and those of its longest document."""
+    have = sizes.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("docs"), F.max("tokens").alias("longest"))
     weights = targets.where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeat"), F.lit(1))).alias("max_repeat")
     )
-    return weights.join(have, "source", "left").fillna(0, ["available", "docs"])
+    return weights.join(have, "source", "left").fillna(0, ["available", "docs", "longest"])
 
 
 def largest_budget(planned: DataFrame) -> int:
@@ -92,27 +99,52 @@ def largest_budget(planned: DataFrame) -> int:
     return int(row["v"] * row["w"]) if row["v"] is not None else 0
 
 
+def default_budget(planned: DataFrame, share: float = BUDGET_SHARE) -> int:
+    """``share`` of the tokens of all target sources."""
+    return int(share * (planned.agg(F.sum("available")).first()[0] or 0))
+
+
+def last_finish(planned: DataFrame, budget: int) -> float:
+    """A virtual time after which no record can be inside the budget.
+
+    By virtual time t a source with weight w and capacity c has served
+    min(w t, c) tokens, less than one document of them unfinished. The time at
+    which these sums reach the budget and one longest document of each source
+    is found between the times c / w at which the sources leave the queue.
+    """
+    served = planned.where("available > 0 and target_share > 0").select(
+        (F.col("available") * F.col("max_repeat")).alias("c"), F.col("target_share").alias("w"), "longest"
+    )
+    need = F.lit(budget) + F.sum("longest").over(Window.partitionBy())
+    w = Window.orderBy(F.col("c") / F.col("w"), "c")
+    gone = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = F.sum("w").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    times = served.select((F.col("c") / F.col("w")).alias("leaves"), ((need - gone) / weight).alias("spent"), F.row_number().over(w).alias("k"))
+    enough = F.col("spent") <= F.col("leaves")
+    row = times.agg(F.min_by(F.when(enough, F.col("spent")), F.when(enough, F.col("k"))), F.max("leaves")).first()
+    return float(row[0] if row[0] is not None else row[1] or 0.0)
+
+
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY, sizes: DataFrame | None = None) -> DataFrame:
     """The mix in order: ``position, doc_id, source, pass, tokens, finish, total_tokens``."""
     sizes = sized(docs, targets, vocabulary) if sizes is None else sizes
     planned = cut(plan(sizes, targets))
-    limit = largest_budget(planned) if budget is None else budget
+    limit = default_budget(planned) if budget is None else budget
     open_to = planned.where("available > 0 and target_share > 0").select("source", "target_share", "max_repeat", "available")
+    records = planned.agg(F.sum(F.col("docs") * F.col("max_repeat"))).first()[0] or 0
+    bits = max(6, int(records / PER_BUCKET).bit_length())
     passes = (
         sizes.join(F.broadcast(open_to) if open_to.count() <= 100_000 else open_to, "source")
         .withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("max_repeat"))))
         .withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit(seed), "pass"), F.lit(1 << 40)))
-        .withColumn("_bucket", F.shiftright("_u", 28).cast("int"))
+        .withColumn("_bucket", F.shiftright("_u", 40 - bits).cast("int"))
     )
     queued = _running(passes, ["source", "pass"], "_bucket", ["_u", "doc_id"], {"_cumulative": F.col("tokens")})
     timed = queued.withColumn(
         "finish", ((F.col("pass") - 1) * F.col("available") + F.col("_cumulative")) / F.col("target_share")
     ).select("doc_id", "source", "pass", "tokens", "finish")
-    # nobody who finishes after this can be inside the budget while every source still has records
-    weights = planned.where("available > 0 and target_share > 0").agg(F.sum("target_share")).first()[0] or 1.0
-    last = max(1.0, limit / weights)
-    timed = cut(timed if budget is not None else timed.where(F.col("finish") <= last * (1 + 1e-9)))
-    placed = timed.withColumn("_slice", F.least(F.lit(BUCKETS), (F.col("finish") / last * BUCKETS).cast("int")))
+    last = max(1.0, last_finish(planned, limit) * (1 + 1e-9))
+    placed = cut(timed.where(F.col("finish") <= last)).withColumn("_slice", (F.col("finish") / last * (1 << bits)).cast("int"))
     ordered = _running(
         placed, [], "_slice", ["finish", "source", F.desc("tokens"), "doc_id", "pass"], {"total_tokens": F.col("tokens"), "position": F.lit(1)}
     )
@@ -124,7 +156,10 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
 
 
 def mix_shares(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Shares reached: ``source, target_share, actual_share, tokens, records, docs, available, repeats``."""
+    """Shares reached: ``source, target_share, actual_share, tokens, records, docs, available, repeats, used_up``.
+
+    ``used_up`` tells that a source had no record left and so may fall short.
+    """
     sizes = sized(docs, targets, vocabulary)
     planned = plan(sizes, targets)
     used = cut(
@@ -138,5 +173,6 @@ def mix_shares(docs: DataFrame, targets: DataFrame, budget: int | None = None, s
         .fillna(0, ["tokens", "records", "repeats"])
         .select(
             "source", "target_share", F.round(F.col("tokens") / F.lit(whole), 6).alias("actual_share"), "tokens", "records", "docs", "available", "repeats",
+            (F.col("records") >= F.col("docs") * F.col("max_repeat")).alias("used_up"),
         )
     )

@@ -58,6 +58,44 @@ def test_budget_and_shares(spark, tables):
     assert sum(r.actual_share for r in shares.values()) == pytest.approx(1, abs=1e-4)
 
 
+def served(docs, targets, budget, seed=7):
+    """One queue per source, served record by record; the order and the cut as the operator states them."""
+    rows = M.sized(docs, targets).withColumn("u", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumnRenamed("u", "pass")
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(seed), "pass"), F.lit(1 << 40))).collect()
+    weight = {r.source: (r.target_share, max(1, r.max_repeat or 1)) for r in targets.collect() if r.source}
+    records = []
+    for source, (w, most) in weight.items():
+        run = 0
+        for r in sorted((x for x in rows if x.source == source and x["pass"] <= most), key=lambda x: (x["pass"], x.u, x.doc_id)):
+            run += r.tokens
+            records.append((run / w, source, -r.tokens, r.doc_id, r["pass"]))
+    out, total = [], 0
+    for finish, source, tokens, doc, k in sorted(records):
+        total -= tokens
+        if total > budget:
+            break
+        out.append((doc, k))
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 40, 500, 3_000, 9_000, 14_000, 10**7])
+def test_every_budget_is_served_whole(tables, budget):
+    docs, targets = tables
+    got = [(r.doc_id, r["pass"]) for r in M.mix(docs, targets, budget=budget).collect()]
+    assert got == served(docs, targets, budget)
+
+
+def test_scarce_sources_leave_the_queue(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, "big" if i > 1 else "scarce", "", 0, 0) for i in range(300)], DOCS)
+    targets = spark.createDataFrame([("big", 0.5, 1, 0), ("scarce", 0.3, 2, 0), ("none", 0.2, 9, 0)], TARGETS)
+    available = M.sized(docs, targets).agg(F.sum("tokens")).first()[0]
+    shares = {r.source: r for r in M.mix_shares(docs, targets).collect()}
+    # two posts don't set the size of the mix, and what fell short is told
+    assert M.BUDGET_SHARE * available - 100 < sum(r.tokens for r in shares.values()) <= M.BUDGET_SHARE * available
+    assert shares["scarce"].records == 4 and shares["scarce"].used_up and shares["none"].used_up and not shares["big"].used_up
+    assert shares["none"].tokens == 0 and shares["scarce"].actual_share < 0.3
+
+
 def test_empty(spark, tables):
     docs, targets = tables
     assert M.mix(docs.limit(0), targets).count() == 0 and M.mix(docs, targets.limit(0)).count() == 0

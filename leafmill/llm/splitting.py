@@ -9,8 +9,10 @@ the limit; the overlap is exact.
 A null text has no pieces, nor has a row without an id; a text within the limit has one, a row without a
 limit (null, or no entry for its source) is left whole. Unsplittable stretches
 are cut hard, but never before a combining mark unless nothing else is left.
-A weaker kind of boundary is a candidate only in stretches longer than a
-quarter of the reach (limit minus overlap) that hold no stronger one.
+
+All boundaries compete. Weaker kinds are looked for last: as a cut costs its
+penalty at least, a sequence that costs no more than the penalty of the next
+kind is the best of all and the search ends there.
 """
 
 from __future__ import annotations
@@ -38,28 +40,19 @@ HARD = 8.0
 BALANCE = 1.0
 
 
-def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ascending cut positions with penalties and kinds; gaps longer than ``reach`` get hard cuts."""
+def _boundaries(text: str, reach: int, ranks: int = len(BOUNDARIES)) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ascending cut positions of the first ``ranks`` kinds, with penalties and kinds.
+
+    With all kinds, gaps longer than ``reach`` get hard cuts.
+    """
     n = len(text)
     kind_at: dict[int, int] = {n: 0}
-    stretches = [(0, n)]
-    for rank, (_, _, pattern) in enumerate(BOUNDARIES):
-        narrower = []
-        for a, b in stretches:
-            last = a
-            for m in pattern.finditer(text, a, b):
-                p = m.end()
-                if a < p < b:
-                    kind_at.setdefault(p, rank)
-                    if p - last > reach // 4:
-                        narrower.append((last, p))
-                    last = p
-            if b - last > reach // 4:
-                narrower.append((last, b))
-        stretches = narrower
+    for rank, (_, _, pattern) in enumerate(BOUNDARIES[:ranks]):
+        for m in pattern.finditer(text):
+            kind_at.setdefault(m.end(), rank)
     positions, kinds, last = [], [], 0
     for p in sorted(kind_at):
-        while p - last > reach:
+        while p - last > reach and ranks == len(BOUNDARIES):
             step = last + reach
             while step > last + 1 and unicodedata.combining(text[step]):
                 step -= 1
@@ -76,42 +69,50 @@ def _boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, list[str
     return np.array(positions), costs[kinds], [names[k] for k in kinds]
 
 
-def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """``(start, end, boundary)`` of each piece, in order; the last boundary is ``end``."""
-    n = len(text)
-    if n <= limit:
-        return [(0, n, "end")]
-    if limit < 1:
-        raise ValueError("the size limit must be positive")
-    overlap = max(0, min(overlap, limit - 1))
-    reach = limit - overlap
-    at, penalty, kinds = _boundaries(text, reach)
-    pieces = -(-(n - overlap) // reach)
-    ideal = (n - overlap) / pieces
-    penalty[-1] = 0.0
+def _best_cuts(at: np.ndarray, penalty: np.ndarray, reach: int, overlap: int, ideal: float) -> tuple[float, list[int]]:
+    """Cost and cut numbers of the cheapest sequence; infinite where the positions lie too far apart."""
     best = np.full(len(at) + 1, np.inf)
-    back = np.zeros(len(at) + 1, dtype=np.int64)
+    back = [0] * (len(at) + 1)
     # node 0 is a virtual cut that lets the first piece use the whole limit
     start = np.concatenate(([overlap], at))
     best[0] = 0.0
-    low = 0
+    lows = np.searchsorted(start, at - reach)
+    penalty = np.concatenate((penalty[:-1], [0.0]))
+    scaled = start / ideal
     for i in range(1, len(at) + 1):
-        p = at[i - 1]
-        while start[low] < p - reach:
-            low += 1
-        high = i
-        step = p - start[low:high]
-        cost = best[low:high] + BALANCE * (step / ideal - 1.0) ** 2
-        cost[step <= 0] = np.inf
-        k = int(np.argmin(cost))
-        if np.isfinite(cost[k]):
+        low = lows[i - 1]
+        step = scaled[i] - scaled[low:i]
+        cost = BALANCE * (step - 1.0) ** 2
+        cost += best[low:i]
+        if i > low:
+            k = int(cost.argmin())
             best[i], back[i] = cost[k] + penalty[i - 1], low + k
     cuts, i = [], len(at)
     while i > 0:
         cuts.append(i)
         i = int(back[i])
+    return float(best[-1]), cuts[::-1]
+
+
+def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """``(start, end, boundary)`` of each piece, in order; the last boundary is ``end``."""
+    n = len(text)
+    if n <= limit:
+        return [(0, n, "end")]
+    if limit < 1:
+        raise ValueError("the size limit must be positive")
+    overlap = max(0, min(overlap, limit - 1))
+    reach = limit - overlap
+    ideal = (n - overlap) / -(-(n - overlap) // reach)
+    for ranks in (3, 4, len(BOUNDARIES)):
+        at, penalty, kinds = _boundaries(text, reach, ranks)
+        # the first piece is longer than the overlap
+        at, penalty, kinds = at[(k := int((at <= overlap).sum())) :], penalty[k:], kinds[k:]
+        cost, cuts = _best_cuts(at, penalty, reach, overlap, ideal)
+        if ranks < len(BOUNDARIES) and cost <= BOUNDARIES[ranks][1]:
+            break
     out, begin = [], 0
-    for i in reversed(cuts):
+    for i in cuts:
         end = int(at[i - 1])
         out.append((begin, end, "end" if end == n else kinds[i - 1]))
         begin = end - overlap

@@ -117,10 +117,9 @@ def is_open(text: str) -> bool:
     body, _ = strip_residue(text)
     if not body:
         return False
-    tail = body[-160:]
     for a, b in ("()", "（）", "[]"):
-        at = tail.rfind(a)
-        if at >= 0 and b not in tail[at:] and "\n" not in tail[at:]:
+        at = body.rfind(a)
+        if at >= 0 and body.find(b, at) < 0 and body.find("\n", at) < 0:
             return True
     for _ in range(4):
         body = body.rstrip()

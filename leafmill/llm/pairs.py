@@ -42,7 +42,10 @@ REFUSALS = {
     "ko": r"(?:죄송|유감)[^.\n]{0,40}?(?:수 없|못)",
 }
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.IGNORECASE)
-REFUSAL_MAX = 400
+# Words of apology in the sentences around a refusal.
+_APOLOGY = re.compile(r"\bsorry\b|\bapologi|\bunfortunately\b|leider|tut mir leid|entschuldig|désolé|malheureusement|lo siento|mi dispiace|извините|抱歉|对不起|遗憾|申し訳|죄송", re.IGNORECASE)
+# A refusal declines or apologises in at least this share of its sentences.
+REFUSAL_SHARE = 0.2
 # Every refusal above holds one of these; they spare the patterns most answers.
 REFUSAL_HINTS = (
     "can't", "can’t", "cannot", "can not", "won't", "won’t", "will not", "could not", "able to", "declin", "refus",
@@ -53,11 +56,14 @@ REFUSAL_HINTS = (
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether a short answer declines the task."""
-    if len(answer) > REFUSAL_MAX:
-        return False
+    """Whether an answer of any length declines the task: a sentence declines and enough of them do or apologise."""
     low = answer.lower()
-    return any(x in low for x in REFUSAL_HINTS) and _REFUSAL.search(answer) is not None
+    if not any(x in low for x in REFUSAL_HINTS) or _REFUSAL.search(answer) is None:
+        return False
+    sentences = [x for x in _SEGMENT.findall(answer) if not x.isspace()]
+    against = sum(bool(_REFUSAL.search(x) or _APOLOGY.search(x)) for x in sentences)
+    # a refusal that runs over an end mark counts once
+    return max(1, against) >= REFUSAL_SHARE * len(sentences)
 
 
 # Frequent words that tell the languages of originals and answers apart.
@@ -67,6 +73,21 @@ FREQUENT = {
     "fr": "le la les des une et dans est que qui pour sur ne pas du de un en ce cette nous on au aux par avec sans il sont",
 }
 _LANGUAGES = tuple(FREQUENT)
+_NATIVE = ("zh", *_LANGUAGES)
+# The same for further target languages, which originals aren't in.
+FURTHER = {
+    "es": "el la los las una y en es que por con para del se su al como más pero sus le ya este sí porque esta entre cuando sin sobre también fue son",
+    "it": "il lo gli una e di che per con del della dei delle si è sono non più come anche nel nella questo questa da dal tra quando ma",
+    "pt": "o os as uma e em que para com do da dos das se não mais como mas ao pela pelo este esta são foi quando entre também sem",
+    "nl": "de het een en van is dat op te in met voor niet zijn aan er om ook als bij door naar uit nog maar wordt werd deze dit",
+}
+_FURTHER = {k: frozenset(v.split()) for k, v in FURTHER.items()}
+# Letters of target languages that are told by their script.
+SCRIPTS = {
+    "ja": "\u3040-\u30ff\u4e00-\u9fff", "ko": "\uac00-\ud7af\u1100-\u11ff", "ru": "\u0400-\u04ff", "uk": "\u0400-\u04ff", "bg": "\u0400-\u04ff",
+    "el": "\u0370-\u03ff", "ar": "\u0600-\u06ff", "fa": "\u0600-\u06ff", "he": "\u0590-\u05ff", "hi": "\u0900-\u097f", "th": "\u0e00-\u0e7f",
+}
+_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
 # word -> the languages that it speaks for
 _SPEAKS: dict[str, tuple[str, ...]] = {}
 for _lang, _list in FREQUENT.items():
@@ -78,7 +99,7 @@ _IDEOGRAPH = re.compile(f"[{CJK}]")
 _SEGMENT = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _MARKERS = re.compile(r"^\s*(?:(?:#{1,6}|[-•*]|\(?\w{1,4}[.)])\s+|\*\*)")
 
-COPY_SHARE = 0.8
+COPY_SHARE, ORDER_SHARE = 0.8, 0.5
 
 
 def language(text: str) -> str | None:
@@ -125,6 +146,20 @@ def plainly_in(text: str, target: str | None) -> bool:
     return own >= 2 and own >= 3 * max(spoken.values(), default=0)
 
 
+def in_further(text: str, target: str) -> bool | None:
+    """Whether a text is mostly in a target language told by script or its frequent words; None where that can't be told."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    ideographs = len(_IDEOGRAPH.findall(text))
+    if target in _SCRIPTS:
+        letters = sum(map(len, words)) + ideographs
+        return 2 * len(_SCRIPTS[target].findall(text)) >= letters if letters else None
+    if target not in _FURTHER:
+        return None
+    own = sum(map(_FURTHER[target].__contains__, words))
+    other = max(sum(map(set(v.split()).__contains__, words)) for v in FREQUENT.values())
+    return own >= other and 3 * ideographs <= sum(map(len, words)) if own or other or ideographs else None
+
+
 def tokens(text: str) -> list[str]:
     return [x.lower() for x in _TOKEN.findall(text)]
 
@@ -140,7 +175,11 @@ def is_copy(original: str, answer: str) -> bool:
     if len(b) < 5:
         return False
     shared = sum((Counter(a) & Counter(b)).values())
-    return shared >= COPY_SHARE * len(b) and shared >= 0.3 * len(a)
+    if shared < COPY_SHARE * len(b) or shared < 0.3 * len(a):
+        return False
+    # neighbours tell a copy from the same words in another order
+    together = sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values())
+    return together >= ORDER_SHARE * (len(b) - 1)
 
 
 def is_empty(answer: str) -> bool:
@@ -149,6 +188,13 @@ def is_empty(answer: str) -> bool:
     return not _DECORATION.sub("", bare) or bare.strip() in PLACEHOLDERS
 
 
+def _at_home(original: str, target: str | None) -> bool:
+    """Whether the original itself is in the target language."""
+    if target in _NATIVE:
+        return language_shares(original).get(target, 0) > 0.5
+    return target is not None and in_further(original, target) is True
+
+
 def defects(original: str, answer: str, target: str | None, scanned: bool = False) -> list[str]:
     """Every triggered defect type, in the order of the rules."""
     o, t = plain(original), plain(answer)
@@ -159,17 +205,18 @@ def defects(original: str, answer: str, target: str | None, scanned: bool = Fals
     out = []
     if is_refusal(t):
         out.append("refusal")
-    foreign = not plainly_in(t, target)
+    further = in_further(t, target) if target not in _NATIVE else None
+    foreign = target in _NATIVE and not plainly_in(t, target)
     own = language_shares(t) if foreign else {target: 1.0}
     known = sum(v for k, v in own.items() if k is not None)
-    mostly = known > 0 and own.get(target, 0) >= 0.5 * known
+    mostly = known > 0 and own.get(target, 0) >= 0.5 * known if target in _NATIVE else further is not False
     # an answer in the target language gives the original back only if that is in it too
-    if not mostly and language_shares(o).get(target, 0) <= 0.5 and is_copy(o, t):
+    if (not mostly or target not in _NATIVE) and not _at_home(o, target) and is_copy(o, t):
         out.append("copy")
     if is_open(t) and kind(t) == "prose" and (scanned or kind(o) == "prose"):
         out.append("truncated")
-    if target in ("zh", "de", "fr") and not mostly and kind(o) not in ("formula", "table", "reference"):
-        if known or own and target == "zh" and len(_WORD.findall(t)) >= 4:
+    if not mostly and kind(o) not in ("formula", "table", "reference"):
+        if further is False or known or own and target == "zh" and len(_WORD.findall(t)) >= 4:
             out.append("wrong_language")
     return out
 

@@ -22,6 +22,38 @@ def test_rules(answer, lang, want):
     assert P.defects(EN, answer, lang) == want
 
 
+LONG_REFUSAL = (
+    "I'm sorry, but I can't help with translating this passage. " + "Unfortunately it holds material that I am not able to process in this setting. " * 4
+    + "If you like, send me another paragraph and I will gladly look at it. I can also explain the terms that are used in it, or give a short outline. "
+)
+
+
+def test_refusals_of_any_length():
+    assert len(LONG_REFUSAL) > 500 and P.is_refusal(LONG_REFUSAL)
+    # one such sentence in a long answer is part of the text
+    told = "We asked the model. It wrote: I'm sorry, I can't help with that request. " + "Then we asked it again and it went on. " * 9
+    assert not P.is_refusal(told)
+
+
+def test_copies_keep_the_order():
+    assert P.is_copy(EN, EN.replace("weak", "strong")) and not P.is_copy(EN, " ".join(EN.split()[::-1]))
+
+
+@pytest.mark.parametrize(
+    ("answer", "lang", "wrong"),
+    [
+        ("El modelo era débil y la señal también lo era.", "es", False), (DE, "es", True), ("モデルは弱かった。", "ja", False), (DE, "ja", True), ("Модель была слабой.", "ru", False), (FR, "ru", True),
+        ("Il modello era debole e il segnale non era stabile.", "it", False), (ZH, "it", True), (EN, "en", False), (DE, "en", True), (DE, "xx", False), (DE, None, False),
+    ],
+)
+def test_further_target_languages(answer, lang, wrong):
+    assert ("wrong_language" in P.defects("Voici la source du texte, qui reste faible.", answer, lang)) is wrong
+
+
+def test_brackets_opened_long_before_the_end():
+    assert "truncated" in P.defects(EN, "Wir fanden (und das " + "ist nicht neu und " * 40 + "gilt weiter.", "de")
+
+
 def test_rightly_left():
     for x in ("$$x_1 = \\frac{a}{b}$$", "fit_a(k=1, seed=2)", "0.17  0.42", "3:208", "—"):
         assert P.defects(x, x, "zh") == []

@@ -1,5 +1,8 @@
 import datetime
+import math
+import random
 
+import pandas as pd
 import pytest
 
 from leafmill.llm import truncation as T
@@ -55,6 +58,46 @@ def test_hazards_find_the_limit(spark):
     assert {r["patch_id"] for r in found} == set(range(1000, 1060)) and all(r["at_limit"] for r in found)
 
 
+def test_hazards_against_brute_force(spark):
+    rng = random.Random(5)
+    lengths = [rng.choice([rng.randint(5, 60), rng.randint(20, 30), 44]) for _ in range(500)]
+    rows = [(i, "original", "s", None, "d", 0, i, n, n, True, False) for i, n in enumerate(lengths)]
+    schema = "patch_id int, field string, source string, target_lang string, doc_id string, page int, block_id int, chars int, bytes int, prose boolean, open boolean"
+    got = T.length_hazards(spark.createDataFrame(rows, schema), 9, 2).where("`by` = 'source' and unit = 'chars'").collect()
+    longest = max(lengths)
+    at_risk = lambda x: sum(n >= x for n in lengths)
+    assert {r["length"] for r in got} == set(lengths)
+    for r in got:
+        near = [x for x in range(max(1, r["length"] - 9), r["length"] + 10) if abs(x - r["length"]) > 2]
+        m = max(2, sum(x <= longest for x in near))
+        counts = [lengths.count(x) for x in near if x <= longest]
+        pooled, risk = sum(counts), sum(map(at_risk, near))
+        mean = pooled / m
+        variance = (sum(n * n for n in counts) - m * mean * mean) / (m - 1)
+        spread = max(0.0, (variance - mean) / mean**2) if mean else 0.0
+        assert (r["n"], r["at_risk"]) == (lengths.count(r["length"]), at_risk(r["length"]))
+        assert r["expected"] == pytest.approx(r["at_risk"] * (pooled + 0.5) / max(risk, 1)) and r["size"] == pytest.approx(1 / (spread + 1 / (pooled + 0.5)))
+
+
+def test_uneven_lengths_are_no_limits(spark):
+    # lengths come in clusters, and one limit stands among them
+    rng = random.Random(2)
+    lengths = [max(1, int(rng.gauss(rng.choice([40, 90, 150]), 6))) for _ in range(4000)] + [120] * 60
+    rows = [(i, "original", "s", "de", "d", 0, i, n, n, True, n == 120) for i, n in enumerate(lengths)]
+    schema = "patch_id int, field string, source string, target_lang string, doc_id string, page int, block_id int, chars int, bytes int, prose boolean, open boolean"
+    valued = spark.createDataFrame(rows, schema)
+    assert {r["length"] for r in T.length_hazards(valued).where("significant").collect()} == {120}
+    broken = T.incomplete(valued)
+    assert T.cut_at_limits(broken).count() == 60 == broken.count()
+
+
+def test_tail():
+    exact = lambda n, e, k: sum(math.exp(math.lgamma(i + k) - math.lgamma(i + 1) - math.lgamma(k) + k * math.log(k / (e + k)) + i * math.log(e / (e + k))) for i in range(n, 3000))
+    cases = [(3, 1.5, 2.0), (20, 4.0, 9.0), (60, 40.0, 3.5), (0, 1.0, 1.0)]
+    got = T._tail(*(pd.Series(x) for x in zip(*cases)))
+    assert list(got) == pytest.approx([exact(*c) for c in cases], rel=1e-6)
+
+
 def test_continuation_and_rates(spark):
     rows = [
         patch(1, "It was weak. The model of the", block=1), patch(2, "signal was fast.", block=2), patch(3, "It was weak. The model of the", block=7, source="ocr"),

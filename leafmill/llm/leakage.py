@@ -5,9 +5,11 @@ successive hashes of ``K`` characters the least is kept, so that any shared
 span of ``K + WINDOW - 1`` characters (about five words) leaves a common
 fingerprint. White space, punctuation, case and markup don't count, which also
 heals words that are split or joined. Fingerprints of corpus and test items
-are joined; each hit is extended to the maximal common span; spans that lie
-close together in both texts are chained, over a few exchanged words and one
-longer interruption of the post.
+are joined and put together to runs. Only pairs whose runs can reach enough
+words, by their letters with the little that winnowing may leave out at their
+ends, are joined with their texts; there each run is extended to the maximal
+common span, and spans that lie close together in both texts are chained, over
+a few exchanged words and one longer interruption of the post.
 
 A document gives an item away when a chain covers ``MIN_SPAN`` words of the
 item of which ``MIN_WORDS`` and ``MIN_DENSITY`` of all are unchanged. Null and empty texts have no
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.frames import frame
@@ -32,6 +34,10 @@ from leafmill.session import cut
 
 K, WINDOW = 20, 6
 MIN_SPAN, MIN_WORDS, MIN_DENSITY = 15, 13, 0.7
+# A common span may reach so far beyond its first and last fingerprint.
+SLACK = WINDOW - 1
+# So many document ids, 8 bytes each, may be broadcast; more are joined.
+BROADCAST_IDS = 1_000_000
 # Characters between neighbouring spans: exchanged words, and the one interruption.
 EXCHANGED, INTERRUPTION = 36, 320
 
@@ -177,16 +183,85 @@ def shared_words(doc: str, item_words: list[str], hits: list[tuple[int, int]]) -
     return spanned, unchanged
 
 
+def least_letters(words: list[str]) -> tuple[int, int]:
+    """Letters that a leak has at least, if it is one span and if it is two spans of the item."""
+    none = 2**31 - 1
+    ends = np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))
+    n = len(words)
+    one = int((ends[MIN_SPAN:] - ends[: n + 1 - MIN_SPAN]).min()) if n >= MIN_SPAN else none
+    two = none
+    reach = EXCHANGED + 8
+    for before in range(1, MIN_WORDS):
+        for gap in range(min(reach, n - MIN_WORDS) + 1):
+            first = np.arange(n - MIN_WORDS - gap + 1)
+            between = ends[first + before + gap] - ends[first + before]
+            near = between <= reach
+            if not near.any():
+                break
+            two = min(two, int((ends[first + MIN_WORDS + gap] - ends[first] - between)[near].min()))
+    return one, two
+
+
+def item_words(text: str) -> list[str]:
+    return [x for w in _TAG.sub(" ", text).split() if (x := letters(w))]
+
+
+def candidates(seeds: DataFrame, items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(doc, item, hits)`` of the pairs whose runs of fingerprints can make a leak; no leak is lost.
+
+    Seeds on one diagonal no further apart than ``K`` form a run. Runs that
+    follow each other closely in the item form a cluster, in which a chain lies
+    whole. The letters that a cluster covers, ``SLACK`` added at both ends of
+    each run, are compared with those that a leak needs; three runs may always
+    be one. A hit is the beginning of a run.
+    """
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield frame([(i, *least_letters(item_words(t))) for i, t in zip(pdf["item"], pdf["text"])], ["item", "one", "two"])
+
+    known = items.where(F.col(item_id).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_id).alias("item"), F.col(text_col).alias("text"))
+    least = known.mapInPandas(measure, f"item {dict(items.dtypes)[item_id]}, one int, two int").groupBy("item").agg(F.min("one").alias("one"), F.min("two").alias("two"))
+    placed = seeds.withColumn("diagonal", F.col("at") - F.col("item_at")).repartition("doc", "item")
+    line = Window.partitionBy("doc", "item", "diagonal").orderBy("item_at")
+    apart = F.col("item_at") - F.lag("item_at").over(line) > K
+    runs = (
+        placed.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(line))
+        .groupBy("doc", "item", "diagonal", "run")
+        .agg(F.min("item_at").alias("item_at"), F.max("item_at").alias("last"))
+        .select("doc", "item", "diagonal", "item_at", (F.col("item_at") - SLACK).alias("a"), (F.col("last") + K + SLACK).alias("b"))
+    )
+    order = Window.partitionBy("doc", "item").orderBy("a", "b", "diagonal")
+    covered = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clustered = (
+        runs.withColumn("covered", covered)
+        .withColumn("fresh", F.coalesce(F.col("a") - F.col("covered") > EXCHANGED, F.lit(True)).cast("int"))
+        .withColumn("cluster", F.sum("fresh").over(order))
+        .withColumn("adds", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("covered", "a"))))
+    )
+    hit = F.struct((F.col("diagonal") + F.col("item_at")).alias("at"), "item_at")
+    clusters = clustered.groupBy("doc", "item", "cluster").agg(F.count("*").alias("n"), F.sum("adds").alias("letters"), F.collect_list(hit).alias("hits"))
+    enough = F.when(F.col("n") == 1, F.col("letters") >= F.col("one")).when(F.col("n") == 2, F.col("letters") >= F.col("two")).otherwise(F.lit(True))
+    return clusters.join(least, "item").where(enough).groupBy("doc", "item").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, item_id, spanned, unchanged)`` for every document that gives an item away."""
+    """``(doc_id, item_id, spanned, unchanged)`` for every document that gives an item away.
+
+    Ids stand for one text each; a repeated row counts once.
+    """
     seeds = fingerprint_rows(docs, doc_id, text_col, "doc", "at").join(
         fingerprint_rows(items, item_id, text_col, "item", "item_at"), "hash"
     )
-    hits = cut(seeds.groupBy("doc", "item").agg(F.collect_list(F.struct("at", "item_at")).alias("hits")))
+    hits = cut(candidates(seeds, items, item_id, text_col))
     known = items.where(F.col(item_id).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(item_id).alias("item"), F.col(text_col).alias("item_text")
     )
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("text"))
+    wanted = hits.select("doc").distinct()
+    if hits.count() <= BROADCAST_IDS:
+        # only the texts that are looked at leave their partition
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
     per_doc = (
         hits.join(known, "item")
         .join(texts, "doc")
@@ -205,7 +280,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                 if item_text not in words:
                     if len(words) > 5000:
                         words.clear()
-                    words[item_text] = [x for w in _TAG.sub(" ", item_text).split() if (x := letters(w))]
+                    words[item_text] = item_words(item_text)
                 spanned, unchanged = shared_words(plain, words[item_text], [(h["at"], h["item_at"]) for h in found])
                 if spanned >= MIN_SPAN and unchanged >= max(MIN_WORDS, MIN_DENSITY * spanned):
                     rows.append((doc, item, spanned, unchanged))

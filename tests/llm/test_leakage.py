@@ -61,3 +61,38 @@ def test_against_word_brute_force(spark):
             want.add((i, 7))
     items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in L.leaks(spark.createDataFrame(docs, DOCS), items).collect()} == want
+
+
+def test_no_leak_is_lost_before_the_texts_are_read(spark):
+    local = random.Random(11)
+    docs = []
+    for i in range(250):
+        n = local.randint(10, 26)
+        at = local.randint(0, 60 - n)
+        words = WORDS[at : at + n]
+        for _ in range(local.randint(0, 4)):
+            words[local.randrange(n)] = local.choice(["no", "it", "perhaps"])
+        if i % 3 == 0:
+            k = local.randrange(n)
+            words[k:k] = ["[b]", noise(local.randint(1, 9)), "[/b]"]
+        docs.append((i, f"{noise(5)} {' '.join(words)} {noise(5)}", 0, 0, ""))
+    plain = {i: L.letters(text) for i, text, *_ in docs}
+    want = set()
+    for item, text in ((7, ITEM), (8, OTHER)):
+        words = L.item_words(text)
+        places = dict(zip(*(x.tolist() for x in L.fingerprints(L.letters(text)))))
+        for i, doc in plain.items():
+            hits = [(at, places[h]) for h, at in zip(*(x.tolist() for x in L.fingerprints(doc))) if h in places]
+            spanned, unchanged = L.shared_words(doc, words, hits)
+            if spanned >= L.MIN_SPAN and unchanged >= max(L.MIN_WORDS, L.MIN_DENSITY * spanned):
+                want.add((i, item))
+    items = spark.createDataFrame([(7, ITEM), (8, OTHER)], "item_id bigint, text string")
+    assert 50 < len(want) < 240
+    assert {(r.doc_id, r.item_id) for r in L.leaks(spark.createDataFrame(docs, DOCS), items).collect()} == want
+
+
+def test_least_letters():
+    words = ["ab"] * 40
+    assert L.least_letters(words) == (30, 26) and L.least_letters(words[:14]) == (2**31 - 1, 26) and min(L.least_letters([])) == 2**31 - 1
+    # the gap between two spans is bounded, so long words can't all be left out
+    assert L.least_letters(["a"] * 7 + ["x" * 60] * 3 + ["a"] * 6)[1] > 60

@@ -33,13 +33,15 @@ from leafmill.llm.frames import frame
 from leafmill.session import cut
 
 K, WINDOW = 20, 6
-MIN_SPAN, MIN_WORDS, MIN_DENSITY = 15, 13, 0.7
+MIN_SPAN, MIN_WORDS, MIN_DENSITY = 15, 13, 0.8
 # A common span may reach so far beyond its first and last fingerprint.
 SLACK = WINDOW - 1
 # So many document ids, 8 bytes each, may be broadcast; more are joined.
 BROADCAST_IDS = 1_000_000
 # Characters between neighbouring spans: exchanged words, and the one interruption.
 EXCHANGED, INTERRUPTION = 36, 320
+# Characters of the item that may be missing at an interruption, about one exchanged word.
+BESIDE = 8
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|\[/?[A-Za-z*][^\[\]\n]{0,120}\]")
 _ENTITY = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[A-Za-z]{2,10});")
@@ -167,6 +169,8 @@ def shared_words(doc: str, item_words: list[str], hits: list[tuple[int, int]]) -
             if not (-8 <= gap_item <= EXCHANGED and -8 <= gap_doc <= INTERRUPTION):
                 continue
             long = gap_doc > EXCHANGED
+            if long and gap_item > BESIDE:
+                continue
             for used in ((0,) if long else (0, 1)):
                 w, f, _ = best[p][used]
                 if w < 0:

@@ -91,6 +91,14 @@ def test_no_leak_is_lost_before_the_texts_are_read(spark):
     assert {(r.doc_id, r.item_id) for r in L.leaks(spark.createDataFrame(docs, DOCS), items).collect()} == want
 
 
+def test_sentences_of_one_pattern_are_no_leak(spark):
+    """A pattern whose names and numbers differ, in two sentences of an item that don't follow each other in the post."""
+    item = f"{' '.join(WORDS[:8])} {noise(4)} {' '.join(WORDS[8:14])}. {' '.join(WORDS[20:28])} {noise(5)} {' '.join(WORDS[28:34])}"
+    post = f"{' '.join(WORDS[:8])} {noise(4)} {' '.join(WORDS[8:14])}. {noise(14)} {' '.join(WORDS[20:28])} {noise(5)} {' '.join(WORDS[28:34])}"
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert L.leaks(spark.createDataFrame([(1, post, 0, 0, "")], DOCS), items).count() == 0
+
+
 def test_least_letters():
     words = ["ab"] * 40
     assert L.least_letters(words) == (30, 26) and L.least_letters(words[:14]) == (2**31 - 1, 26) and min(L.least_letters([])) == 2**31 - 1

@@ -6,12 +6,14 @@ recurrence of lines in the document; Viterbi picks the best labelling. The
 paragraphs are then put together again: page furniture goes, broken words are
 joined, misread words are replaced.
 
-Misread words are found with a lexicon counted over the whole corpus: a word
-is misread when another word of the same skeleton (letters that scanners mix
-up fall together) is at least ``RATIO`` times as frequent. The frequent words
-are broadcast; a token that they don't decide is compared by its true count
-with all words of its skeletons in a join. There a token that only scanned
-pages hold is also misread when the other word stands outside them.
+Misread words are found with words counted over the whole corpus: a token is
+misread when another word of the same skeleton (letters that scanners mix up
+fall together) is at least ``RATIO`` times as frequent; a token that only
+scanned pages hold also when the other word stands outside them and is
+``LEXICON_LEAST`` times as frequent. The distinct tokens are joined with the
+counted words by skeleton. The frequent words are broadcast, so that most
+tokens are decided on the spot; what they can't decide is asked of the join,
+and the outcome doesn't depend on how many are broadcast.
 
 A null page has no lines. A page without a repeated header or number is
 labelled from its own layout. Redelivered patches count once.
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from leafmill.llm.frames import frame
 from leafmill.session import cut
 
-# The lexicon is the fast path; ``rare_words`` looks up what it can't decide.
-# A lexicon word makes up at least this share of all words, so there are at
-# most 1 / LEXICON_SHARE of them whatever the size of the corpus: they can be broadcast.
-LEXICON_SHARE = 4e-6
+# A word of the broadcast lexicon makes up at least this share of all words, so there are at
+# most 1 / LEXICON_SHARE of them whatever the size of the corpus. It only saves questions.
+LEXICON_SHARE = 2e-5
 LEXICON_LEAST = 3
 RATIO = 40
+# Of a word broken at a hyphen that stands nowhere else one half makes up no more of all words, or stands so often.
+HALF_SHARE, HALF_LEAST = 1.6e-5, 12
+SALTS = 8
 # A line is furniture of its document when it recurs on this share of its pages.
 RECURS = 0.04
 PLAIN_RECURS = 0.3
@@ -255,71 +259,89 @@ def _cased(word: str, token: str) -> str:
     return word.capitalize() if token[0].isupper() or not token[0].isalpha() and word[0] != token[0] and token[1:2].isupper() else word
 
 
+# what the join says of a token: its own count, and the word that it was misread from
+Answer = tuple[int, str | None]
+
+
 class Lexicon:
-    """Counted words with their skeletons."""
+    """Frequent words with their counts and skeletons; ``least`` is the count below which a word isn't here.
+
+    ``outside`` counts off scanned pages, ``odd`` the tokens that aren't words.
+    """
 
-    def __init__(self, counts: dict[str, int], least: int):
-        self.counts, self.least = counts, least
+    def __init__(self, counts: dict[str, int], least: int, outside: dict[str, int] | None = None, odd: dict[str, int] | None = None, half: int = HALF_LEAST):
+        self.counts, self.least, self.half = counts, least, half
+        self.outside, self.odd = counts if outside is None else outside, odd or {}
         self.alike: dict[str, list[str]] = {}
         for word in counts:
             self.alike.setdefault(skeleton(word), []).append(word)
-        self._known: dict[str, str | None] = {}
-
-    def count(self, word: str) -> int:
-        return self.counts.get(word.lower(), 0)
+        self._known: dict[str, tuple[str | None, bool]] = {}
 
-    def right(self, token: str) -> str | None:
-        """The word that a misread token stands for, or None for a sound token."""
-        if token not in self._known:
+    def judge(self, low: str) -> tuple[str | None, bool]:
+        """The word that a lower-case token was misread from, and whether the frequent words decide that."""
+        if low not in self._known:
             if len(self._known) > 200_000:
                 self._known.clear()
-            self._known[token] = self._right(token)
-        return self._known[token]
+            self._known[low] = self._judge(low)
+        return self._known[low]
 
-    def undecided(self, token: str) -> bool:
-        """Whether rarer words than the lexicon's may tell that the token is misread."""
-        return _may_be_misread(token) and token.lower() not in self.counts and self.right(token) is None
-
-    def _right(self, token: str) -> str | None:
-        if not _may_be_misread(token):
-            return None
-        low = token.lower()
-        own = max(self.counts.get(low, 0), self.least)
-        options = [w for x in readings(low) for w in self.alike.get(skeleton(x), ()) if w != low]
+    def _judge(self, low: str) -> tuple[str | None, bool]:
+        own = self.counts.get(low, self.odd.get(low))
+        options = {w for x in readings(low) for w in self.alike.get(skeleton(x), ()) if w != low}
         if low not in self.counts and not low.replace("-", "").isalpha() and sum(map(str.isalpha, low)) >= 3:
             for i, c in enumerate(low):
                 if not c.isalpha() and c != "-":
-                    options += [w for x in "abcdefghijklmnopqrstuvwxyz" if (w := low[:i] + x + low[i + 1 :]) in self.counts]
-        best = max(options, key=lambda w: self.counts[w], default=None)
-        if best is None or self.counts[best] < RATIO * own:
+                    options |= {w for x in "abcdefghijklmnopqrstuvwxyz" if (w := low[:i] + x + low[i + 1 :]) in self.counts}
+        best = max(options, key=lambda w: (self.counts[w], w), default=None)
+        if best is not None and self.counts[best] >= RATIO * (self.least if own is None else own):
+            return best, True
+        if own is None:
+            return None, False
+        scanned_only = best is not None and self.outside.get(low, 0) == 0 and self.outside.get(best, 0) >= LEXICON_LEAST and self.counts[best] >= LEXICON_LEAST * own
+        return (best if scanned_only else None), True
+
+    def right(self, token: str, rare: dict[str, Answer] | None = None) -> str | None:
+        """The word that a misread token stands for, or None for a sound token."""
+        if not _may_be_misread(token):
             return None
-        return _cased(best, token)
+        low = token.lower()
+        word, decided = self.judge(low)
+        if not decided:
+            word = (rare or {}).get(low, (0, None))[1]
+        return _cased(word, token) if word else None
+
+    def count(self, word: str, rare: dict[str, Answer] | None = None) -> int:
+        low = word.lower()
+        return self.counts[low] if low in self.counts else (rare or {}).get(low, (0, None))[0]
+
+    def undecided(self, token: str) -> bool:
+        """Whether rarer words than the lexicon's may tell that the token is misread."""
+        return _may_be_misread(token) and not self.judge(token.lower())[1]
+
+
+def _halves(head: str, tail: str) -> tuple[str, ...]:
+    """What is asked of a marked line end: the word as a whole, as a compound, and its parts."""
+    return head + tail, f"{head}-{tail}", head, tail
 
 
-def _is_broken(head: str, tail: str, mark: str, lexicon: Lexicon) -> bool:
+def _is_broken(head: str, tail: str, mark: str, lexicon: Lexicon, rare: dict[str, Answer]) -> bool:
     """Whether a marked line end splits a word that is written without a hyphen."""
     if not tail[0].islower() and not head.isupper():
         return False
     if mark in "¬­":
         return True
-    joined, compound = lexicon.count(head + tail), lexicon.count(f"{head}-{tail}")
+    whole, hyphened, *_ = _halves(head, tail)
+    joined, compound = lexicon.count(whole, rare), lexicon.count(hyphened, rare)
     if joined or compound:
         return joined >= compound
-    a, b = lexicon.right(head + tail), lexicon.right(f"{head}-{tail}")
+    a, b = lexicon.right(whole, rare), lexicon.right(hyphened, rare)
     if a or b:
-        return bool(a) and not (b and lexicon.count(b) > lexicon.count(a))
-    return min(lexicon.count(head), lexicon.count(tail)) <= 4 * lexicon.least
+        return bool(a) and not (b and lexicon.count(b, rare) > lexicon.count(a, rare))
+    return min(lexicon.count(head, rare), lexicon.count(tail, rare)) <= lexicon.half
 
 
-def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None, rare: dict[str, str] | None = None) -> tuple[list[tuple[int, str]], str]:
-    """``(line number, noise)`` of a page and its repaired text, a blank line between paragraphs.
-
-    ``rare``: the words of misread tokens that the lexicon doesn't decide.
-    """
-    rare = rare or {}
-    states = label_lines(text, recurs, page_index)
-    lines = text.split("\n")
-    noise = [(i + 1, STATES[s]) for i, s in enumerate(states) if s in (H, N)]
+def _followers(lines: list[str], states: list[int]) -> dict[int, int]:
+    """For each body line the one that goes on with it, over page furniture and breaks."""
     following: dict[int, int] = {}
     after = None
     for i in range(len(lines) - 1, -1, -1):
@@ -329,6 +351,42 @@ def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: i
             after = i
         elif states[i] in (S, T):
             after = None
+    return following
+
+
+def _line_ends(lines: list[str], states: list[int]) -> dict[int, tuple[re.Match, str]]:
+    """The marked ends of body lines with the first word of the line that goes on."""
+    out = {}
+    for i, j in _followers(lines, states).items():
+        if (m := _MARK.search(lines[i])) and (f := _FIRST.match(lines[j])):
+            out[i] = m, f.group(1)
+    return out
+
+
+def questions(text: str, states: list[int], lexicon: Lexicon) -> set[str]:
+    """Lower-case tokens of the body that the lexicon can't decide."""
+    lines = text.split("\n")
+    body = [x for x, state in zip(lines, states) if state == B]
+    tokens = {t.strip(_EDGE) for x in body for t in _TOKEN.findall(x)}
+    asked = {t.lower() for t in tokens if lexicon.undecided(t)}
+    for m, tail in _line_ends(lines, states).values():
+        asked.update(w.lower() for w in _halves(m.group(1), tail) if w.lower() not in lexicon.counts)
+    return asked
+
+
+def read_page(
+    text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None, rare: dict[str, Answer] | None = None, states: list[int] | None = None
+) -> tuple[list[tuple[int, str]], str]:
+    """``(line number, noise)`` of a page and its repaired text, a blank line between paragraphs.
+
+    ``rare``: the answers to the page's ``questions``; ``states``: its labels, if they are known.
+    """
+    rare = rare or {}
+    states = label_lines(text, recurs, page_index) if states is None else states
+    lines = text.split("\n")
+    noise = [(i + 1, STATES[s]) for i, s in enumerate(states) if s in (H, N)]
+    following = _followers(lines, states)
+    marked = _line_ends(lines, states)
     skip_first: dict[int, str] = {}
     paragraphs: list[str] = []
     current = ""
@@ -344,12 +402,12 @@ def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: i
                 paragraphs.append(line.strip())
             continue
         head = None
-        if (m := _MARK.search(line)) and i in following and (f := _FIRST.match(lines[following[i]])):
-            mark = line.rstrip()[-1]
-            if _is_broken(m.group(1), f.group(1), mark, lexicon):
+        if i in marked:
+            m, first = marked[i]
+            if _is_broken(m.group(1), first, line.rstrip()[-1], lexicon, rare):
                 head = m.group(1)
                 noise.append((i + 1, "hyphen"))
-                skip_first[following[i]] = f.group(1)
+                skip_first[following[i]] = first
         body = line.rstrip()
         if head:
             body = body[: m.end(1)]
@@ -363,9 +421,7 @@ def read_page(text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: i
             if i in skip_first and t.start() <= len(line) - len(line.lstrip()) and token.startswith(skip_first[i]):
                 continue
             bare = token.strip(_EDGE)
-            word = lexicon.right(bare)
-            if word is None and bare.lower() in rare and _may_be_misread(bare):
-                word = _cased(rare[bare.lower()], bare)
+            word = lexicon.right(bare, rare)
             if word:
                 misread = True
                 fixed.append(body[at : t.start()] + token.replace(bare, word))
@@ -430,13 +486,17 @@ def count_words(patches: DataFrame) -> DataFrame:
     return count_tokens(patches).where("not odd").select("word", "n")
 
 
-def lexicon_of(counts: DataFrame, share: float = LEXICON_SHARE) -> tuple[dict[str, int], int]:
-    """The frequent words, at most ``1 / share`` of them, and the least count of one."""
-    words = counts.where("not odd")
-    total = words.agg(F.sum("n")).first()[0] or 0
+def lexicon_of(counts: DataFrame, share: float | None = None) -> dict:
+    """The arguments of ``Lexicon``: the frequent tokens, at most ``1 / share`` of them, and the least count of one."""
+    share = LEXICON_SHARE if share is None else share
+    total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEXICON_LEAST, int(share * total))
-    rows = words.where(F.col("n") >= least).select("word", "n").toPandas()
-    return dict(zip(rows["word"], rows["n"].astype(int))), least
+    rows = counts.where(F.col("n") >= least).select("word", "odd", "n", "outside").toPandas()
+    words, odd = rows[~rows["odd"].astype(bool)], rows[rows["odd"].astype(bool)]
+    return {
+        "counts": dict(zip(words["word"], words["n"].astype(int))), "least": least, "outside": dict(zip(rows["word"], rows["outside"].astype(int))),
+        "odd": dict(zip(odd["word"], odd["n"].astype(int))), "half": max(HALF_LEAST, int(HALF_SHARE * total)),
+    }
 
 
 def _keys(token: str) -> set[str]:
@@ -450,11 +510,12 @@ def _keys(token: str) -> set[str]:
 
 
 def rare_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(token, word)`` of the misread ones among lower-case ``tokens``, by the counts of all tokens.
+    """``(token, n, word)`` of lower-case ``tokens``: how often it stands, and the word that it was misread from, by the counts of all tokens.
 
     The most frequent word alike is at least ``RATIO`` times as frequent as the
     token. For a token that only scanned pages hold it is enough that the word
-    stands ``LEXICON_LEAST`` times outside them and is that many times as frequent.
+    stands ``LEXICON_LEAST`` times outside them and is that many times as
+    frequent. Tokens that stand nowhere and have no such word are left out.
     """
 
     def token_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -474,11 +535,19 @@ def rare_words(tokens: DataFrame, counts: DataFrame) -> DataFrame:
         .groupBy("token")
         .agg(F.max(F.struct("n", "word", "outside")).alias("best"))
     )
-    own = counts.groupBy(F.col("word").alias("token")).agg(F.sum("n").alias("own"), F.sum("outside").alias("own_outside"))
+    # a word counts as it stands, a token that isn't one by itself
+    own = counts.groupBy(F.col("word").alias("token")).agg(
+        F.sum("n").alias("own"), F.sum("outside").alias("own_outside"), F.coalesce(F.sum(F.when(~F.col("odd"), F.col("n"))), F.lit(0)).alias("as_word")
+    )
     n = F.col("best.n")
     scanned_only = (F.coalesce("own_outside", F.lit(0)) == 0) & (F.col("best.outside") >= LEXICON_LEAST) & (n >= LEXICON_LEAST * F.coalesce("own", F.lit(0)))
     frequent = n >= RATIO * F.greatest(F.coalesce("own", F.lit(0)), F.lit(1))
-    return best.join(own, "token", "left").where(frequent | scanned_only).select("token", F.col("best.word").alias("word"))
+    return (
+        tokens.join(own, "token", "left")
+        .join(best, "token", "left")
+        .select("token", F.coalesce("as_word", F.lit(0)).alias("n"), F.when(frequent | scanned_only, F.col("best.word")).alias("word"))
+        .where("n > 0 or word is not null")
+    )
 
 
 def recurring_lines(pages: DataFrame) -> DataFrame:
@@ -502,53 +571,59 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
         .join(of_doc, "doc_id")
         .select("doc_id", "key", F.when(F.col("n") >= share * F.col("pages"), 2).otherwise(1).alias("strength"))
     )
+    # the title or number of one large document is spread over several tasks
+    salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         lines.where("line_no > 0")
-        .join(seen, ["doc_id", "key"])
+        .withColumn("salt", F.pmod(F.xxhash64("patch_id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["doc_id", "key", "salt"])
         .groupBy("patch_id")
         .agg(F.collect_list(F.struct("line_no", "strength")).alias("recurs"))
     )
 
 
-def _read(patches: DataFrame, schema: str, rows_of) -> DataFrame:
-    spark = patches.sparkSession
+def _read(patches: DataFrame, schema: str, rows_of, share: float | None = None) -> DataFrame:
     pages = cut(scanned_pages(patches))
     counts = cut(count_tokens(patches))
-    shared = spark.sparkContext.broadcast(lexicon_of(counts))
+    shared = patches.sparkSession.sparkContext.broadcast(lexicon_of(counts, share))
     made: dict[str, Lexicon] = {}
 
-    def undecided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lexicon() -> Lexicon:
         if "lexicon" not in made:
-            made["lexicon"] = Lexicon(*shared.value)
+            made["lexicon"] = Lexicon(**shared.value)
+        return made["lexicon"]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text in zip(pdf["patch_id"], pdf["text"]):
-                tokens = {t.strip(_EDGE) for t in _TOKEN.findall(text)}
-                rows += [(key, t) for t in {t.lower() for t in tokens if made["lexicon"].undecided(t)}]
-            yield frame(rows, ["patch_id", "token"])
+            for key, text, page, recurs in zip(pdf["patch_id"], pdf["text"], pdf["page"], pdf["recurs"]):
+                known = {} if recurs is None else {r["line_no"]: r["strength"] for r in recurs}
+                states = label_lines(text, known, page)
+                rows.append((key, text, bytes(states), sorted(questions(text, states, lexicon()))))
+            yield frame(rows, ["patch_id", "text", "states", "asked"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "lexicon" not in made:
-            made["lexicon"] = Lexicon(*shared.value)
         for pdf in batches:
             rows = []
-            for key, text, page, recurs, rare in zip(pdf["patch_id"], pdf["text"], pdf["page"], pdf["recurs"], pdf["rare"]):
-                known = {} if recurs is None else {r["line_no"]: r["strength"] for r in recurs}
-                noise, repaired = read_page(text, known, made["lexicon"], page, {} if rare is None else {r["token"]: r["word"] for r in rare})
+            for key, text, states, rare in zip(pdf["patch_id"], pdf["text"], pdf["states"], pdf["rare"]):
+                answers = {} if rare is None else {r["token"]: (r["n"], r["word"]) for r in rare}
+                noise, repaired = read_page(text, {}, lexicon(), None, answers, list(states))
                 rows += rows_of(key, noise, repaired)
             yield frame(rows, [x.split()[0] for x in schema.split(", ")])
 
     patch = dict(patches.dtypes)["patch_id"]
-    asked = cut(pages.select("patch_id", "text").mapInPandas(undecided, f"patch_id {patch}, token string"))
+    placed = pages.join(recurring_lines(pages), "patch_id", "left").select("patch_id", "text", "page", "recurs")
+    labelled = cut(placed.mapInPandas(label, f"patch_id {patch}, text string, states binary, asked array<string>"))
+    asked = labelled.select("patch_id", F.explode("asked").alias("token"))
     found = asked.join(rare_words(asked.select("token").distinct(), counts), "token")
-    rare = found.groupBy("patch_id").agg(F.collect_list(F.struct("token", "word")).alias("rare"))
-    joined = pages.join(recurring_lines(pages), "patch_id", "left").join(rare, "patch_id", "left").select("patch_id", "text", "page", "recurs", "rare")
+    rare = found.groupBy("patch_id").agg(F.collect_list(F.struct("token", "n", "word")).alias("rare"))
+    joined = labelled.select("patch_id", "text", "states").join(rare, "patch_id", "left")
     return joined.mapInPandas(read, schema.replace("KEY", patch))
 
 
-def page_noise(patches: DataFrame) -> DataFrame:
-    """``(patch_id, line_no, noise)`` of all scanned pages."""
-    return _read(patches, "patch_id KEY, line_no int, noise string", lambda key, noise, _: [(key, i, kind) for i, kind in noise])
+def page_noise(patches: DataFrame, share: float | None = None) -> DataFrame:
+    """``(patch_id, line_no, noise)`` of all scanned pages; ``share`` of a broadcast word changes no row."""
+    return _read(patches, "patch_id KEY, line_no int, noise string", lambda key, noise, _: [(key, i, kind) for i, kind in noise], share)
 
 
 def repaired_pages(patches: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from leafmill.llm import pages as P
 
 PATCH = "patch_id bigint, doc_id string, page int, original string, source string, recurs int, text string"
@@ -62,3 +64,24 @@ def test_rare_words(spark):
     assert {(r.patch_id, r.line_no, r.noise) for r in P.page_noise(df).collect()} == {(50, 1, "misread")}
     repaired = {r.patch_id: r.repaired for r in P.repaired_pages(df).collect()}
     assert repaired[50] == "It was so for the velsin and the velsin of it." and repaired[51] == rows[-1][3]
+
+
+def test_the_broadcast_words_change_nothing(spark):
+    rng = random.Random(4)
+    stock = ["".join(rng.choice("abcdefhilmnortuvw") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    confused = {"m": "rn", "d": "cl", "e": "c", "i": "1", "o": "0", "w": "vv"}
+
+    def line(scanned):
+        words = rng.choices(stock, weights, k=9)
+        if scanned and rng.random() < 0.5:
+            k = rng.randrange(9)
+            words[k] = "".join(confused.get(c, c) if rng.random() < 0.4 else c for c in words[k])
+        if scanned and rng.random() < 0.3:
+            words[-1] = words[-1][: len(words[-1]) // 2 + 1] + "-"
+        return " ".join(words)
+
+    rows = [(i, f"d{i % 7}", i, "\n".join(line(i % 2) for _ in range(8)), "ocr" if i % 2 else "vlm", 1, "") for i in range(160)]
+    df = spark.createDataFrame(rows, PATCH)
+    found = [sorted(map(tuple, P.page_noise(df, share).collect())) for share in (1e-9, 0.004, 0.05, 1.0)]
+    assert found[0] == found[1] == found[2] == found[3] and {"misread", "hyphen"} <= {r[2] for r in found[0]}

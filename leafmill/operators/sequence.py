@@ -102,11 +102,12 @@ _IMAGE, _STRUCTURAL = re.compile(X.IMAGE_ONLY), re.compile(X.STRUCTURAL)
 _LIST, _STOP, _ENDED = re.compile(r"[-*+]\s"), re.compile(r"#{1,2}\s"), re.compile(r"[.!?:。！？：；;\"')\]）】]$")
 # Words that never end an English sentence.
 TAIL_WORDS = (
-    "of the and in to a an for with on by at from or as its their his her our these those this that which who whose whom"
-    " also be is are was were been than then into over under between through during without within along across after"
-    " before above below about when while but"
-)
-_TAIL = re.compile(r"\b(?:" + TAIL_WORDS.replace(" ", "|") + r")\s*$", re.IGNORECASE)
+    "of", "the", "and", "in", "to", "a", "an", "for", "with", "on", "by", "at", "from", "or", "as", "its", "their", "his", "her", "our",
+    "these", "those", "this", "that", "which", "who", "whose", "whom", "also", "be", "is", "are", "was", "were", "been", "than", "then",
+    "into", "over", "under", "between", "through", "during", "without", "within", "along", "across", "after", "before", "above", "below",
+    "about", "when", "while", "but",
+)
+_TAIL = re.compile(r"\b(?:" + "|".join(TAIL_WORDS) + r")\s*$", re.IGNORECASE)
 MERGE_REACH = 8
 
 

@@ -81,7 +81,7 @@ def _demoted_sql(x: str) -> str:
     body = f"regexp_extract({x}, '^#{{1,6}}\\s+(.+?)\\s*$', 1)"
     plain = _BARE.format(body)
     words = f"len(list_filter(regexp_split_to_array({plain}, '\\s+'), lambda w: w <> ''))"
-    evidence = q(r"(^|[^A-Za-z0-9_])(" + X.SENTENCE_EVIDENCE.replace(" ", "|") + r")([^A-Za-z0-9_]|$)")
+    evidence = q(r"(^|[^A-Za-z0-9_])(" + "|".join(X.SENTENCE_EVIDENCE) + r")([^A-Za-z0-9_]|$)")
     ends = f"regexp_matches({plain}, {q('[?!！？.。][\"' + chr(39) + '”’)]*$')})"
     spared = f"right({plain}, 1) IN ('.', '。') AND (regexp_matches({plain}, '^\\d+(\\.\\d+)*[.:）)]?\\s') OR {words} < 6)"
     sentence = f"{words} >= 14 AND (regexp_matches({plain}, '^\\p{{Ll}}') OR regexp_matches({plain}, {evidence}))"

@@ -17,8 +17,8 @@ def test_html(spark):
 
 def test_headings(spark):
     long = "## a method that we use for many of the things which were found in it by us all"
-    got = run(spark, X.demote_sentence_headings, "# Next Generation Systems.", "## **1 Introduction**", "# Does it help retrieval?", long, "# **Is it?**")
-    assert got[0] == "# Next Generation Systems." and got[1] == "## **1 Introduction**"
+    got = run(spark, X.demote_sentence_headings, "# Coral Reef Atlas.", "## **1 Introduction**", "# Does it help retrieval?", long, "# **Is it?**")
+    assert got[0] == "# Coral Reef Atlas." and got[1] == "## **1 Introduction**"
     assert got[2] == "**Does it help retrieval?**" and got[3] == "**" + long[3:] + "**" and got[4] == "**Is it?**"
     assert run(spark, lambda c: X.demote_sentence_headings(c, True), long, "# Really?") == [long, "**Really?**"]
 
@@ -32,14 +32,14 @@ def test_math_letters(spark):
     assert run(spark, X.plain_math_letters, "𝒩(x; 𝜇k, Σk)", "E₀² = _{e_ 1⁰_}") == ["N(x; μk, Σk)", "E₀² = _{e_ 1⁰_}"]
 
 
-@pytest.mark.parametrize("text", ["The adam_optimizer with batch_size of 32 works well.", r"a \(x_1\) b \[y\] $$z$$ c", "", "plain"])
+@pytest.mark.parametrize("text", ["Its wave_length and step_width of 7 stay fixed.", r"a \(x_1\) b \[y\] $$z$$ c", "", "plain"])
 def test_protect_round_trip(text):
     safe, formulas, pieces = X.protect(text)
     assert X.restore(safe, formulas, pieces) == text
 
 
 def test_protect_marks():
-    assert X.protect("The adam_optimizer with batch_size of 32")[0] == "The [[F0]] with [[F1]] of 32"
+    assert X.protect("Its wave_length and step_width of 7")[0] == "Its [[F0]] and [[F1]] of 7"
     assert X.protect(r"\(a\) and \(b\)")[0] == "[[M0]] and [[M1]]"
 
 
@@ -54,15 +54,18 @@ def test_levels_and_quantiles(spark):
     assert run(spark, lambda c: X.quantise_half(c.cast("double")), "10.25", "10.75") == [10.0, 11.0]
 
 
-def test_prompt_echo():
-    assert X.strip_prompt_echo("论文标题：: **A B**\n\n正文", ": A B") == "正文"
-    assert X.strip_prompt_echo("论文标题：另一个\n正文", "A B") == "论文标题：另一个\n正文"
-    assert X.strip_prompt_echo("术语表\n- a → b\n正文") == "正文"
-    assert X.strip_prompt_echo("正文") == "正文"
+def test_prompt_echo(spark):
+    cases = [
+        ("论文标题：: **A B**\n\n正文", ": A B", "正文"), ("论文标题：另一个\n正文", "A B", "论文标题：另一个\n正文"), ("术语表\n- a → b\n正文", None, "正文"), ("正文", None, "正文"),
+        ("\n\n## 论文标题: A\n\n**术语表**\n- a → b\n* c → d\n术语表：\n\n正文\n- e → f", "A", "正文\n- e → f"), ("论文标题：A\n\n- a → b", "A", "- a → b"), ("论文标题：A", "A", ""), ("\n正文 ", "A", "\n正文 "),
+        (None, "A", None), ("", "", ""), ("论文标题：A\n正文", None, "论文标题：A\n正文"),
+    ]
+    rows = spark.createDataFrame([(i, a, t) for i, (a, t, _) in enumerate(cases)], "i int, a string, t string")
+    assert [r[0] for r in rows.orderBy("i").select(X.strip_prompt_echo(F.col("a"), F.col("t"))).collect()] == [w for *_, w in cases]
 
 
 def test_norm_split():
-    assert X.split_at_norm("3.4  ABLATION Study: details", "34ablationstudy") == ("3.4  ABLATION Study", ": details")
+    assert X.split_at_norm("6.1  FIELD Notes: rain", "61fieldnotes") == ("6.1  FIELD Notes", ": rain")
     assert X.split_at_norm("short", "shorter") is None
 
 

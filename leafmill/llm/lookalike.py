@@ -61,16 +61,30 @@ def _one(ch: str) -> str:
     return unicodedata.normalize("NFKC", ch)
 
 
+@lru_cache(maxsize=65536)
+def _shaped(ch: str) -> str:
+    """``_one`` with the Latin letters of the same shape."""
+    return _one(ch).translate(_SHAPES)
+
+
+# What may need a mapping: all but characters that ``_one`` and the shapes leave alone.
+_ODD = re.compile(r"[^\x20-\x7e\u00bf-\u02af\u2013-\u2015\u2018-\u201f\u2022\u3001-\u301b\u3041-\u3096\u4e00-\u9fff\uac00-\ud7a3]|[\u00df\u0131-\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u0251\u0261]")
+_SHAPED = re.compile("[" + "".join(SAME_SHAPE) + "]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+
+
 def consistent(text: str | None, fold: bool = False) -> str | None:
     """The visible form of ``text``; with ``fold``, also without letter case or raised digits."""
     if text is None:
         return None
-    if not text.isascii():
-        text = "".join(map(_one, unicodedata.normalize("NFC", text))).translate(_SHAPES)
-        # a mark left behind a mapped letter, or two parts of a removed joiner, compose here
-        text = unicodedata.normalize("NFC", text).translate(_SHAPES)
-    elif "\x00" <= min(text, default=" ") < " ":
-        text = re.sub(r"[\x00-\x08\x0e-\x1f]", "", text)
+    if text.isascii():
+        text = _CONTROL.sub("", text)
+    else:
+        text = unicodedata.normalize("NFC", text)
+        if _ODD.search(text):
+            # a mark left behind a mapped letter, or two parts of a removed joiner, compose after the mapping
+            text = unicodedata.normalize("NFC", _ODD.sub(lambda m: _shaped(m.group()), text))
+            text = _SHAPED.sub(lambda m: SAME_SHAPE[m.group()], text)
     if fold:
         text = unicodedata.normalize("NFKC", text).casefold()
         text = unicodedata.normalize("NFKC", text)
@@ -109,7 +123,8 @@ def _keys(text: str) -> tuple[bytes, bytes, bytes] | tuple[None, None, None]:
     if not seen:
         return None, None, None
     folded = seen.casefold() if seen.isascii() else consistent(seen, fold=True)
-    return _digest(folded), _digest(seen), _digest(text)
+    look = _digest(seen)
+    return look if folded == seen else _digest(folded), look, look if text == seen else _digest(text)
 
 
 @F.pandas_udf(_KEYS)

@@ -1,3 +1,4 @@
+import unicodedata
 from itertools import combinations
 
 from leafmill.llm import lookalike as K
@@ -14,6 +15,23 @@ def test_forms():
     assert K.consistent(K.consistent("Ｗ​ａ")) == "Wa" and K.consistent("é" * 100_000) == "é" * 100_000
 
 
+def by_character(text):
+    """The visible form, every character mapped by itself."""
+    if text.isascii():
+        text = "".join(c for c in text if c >= " " or c in "\t\n\r\x0b\x0c")
+    else:
+        text = "".join(map(K._one, unicodedata.normalize("NFC", text))).translate(K._SHAPES)
+        text = unicodedata.normalize("NFC", text).translate(K._SHAPES)
+    return " ".join(text.split())
+
+
+def test_every_character():
+    for code in [*range(0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0FFF)]:
+        c = chr(code)
+        for text in (c, f"A{c}b", f"Ａ{c}b", f"é{c}\u0301"):
+            assert K.consistent(text) == by_character(text), hex(code)
+
+
 def brute(rows):
     """Pairs of different spellings of one look where one of the two is its spelling's first."""
     first = {}

@@ -314,10 +314,6 @@ class Lexicon:
         low = word.lower()
         return self.counts[low] if low in self.counts else (rare or {}).get(low, (0, None))[0]
 
-    def undecided(self, token: str) -> bool:
-        """Whether rarer words than the lexicon's may tell that the token is misread."""
-        return _may_be_misread(token) and not self.judge(token.lower())[1]
-
 
 def _halves(head: str, tail: str) -> tuple[str, ...]:
     """What is asked of a marked line end: the word as a whole, as a compound, and its parts."""
@@ -363,25 +359,35 @@ def _line_ends(lines: list[str], states: list[int]) -> dict[int, tuple[re.Match,
     return out
 
 
-def questions(text: str, states: list[int], lexicon: Lexicon) -> set[str]:
-    """Lower-case tokens of the body that the lexicon can't decide."""
+def questions(text: str, states: list[int], lexicon: Lexicon) -> tuple[set[str], set[str]]:
+    """Tokens of the body that aren't known to be sound, and what is to be asked about them and the line ends, in lower case."""
     lines = text.split("\n")
-    body = [x for x, state in zip(lines, states) if state == B]
-    tokens = {t.strip(_EDGE) for x in body for t in _TOKEN.findall(x)}
-    asked = {t.lower() for t in tokens if lexicon.undecided(t)}
+    tokens = {t.strip(_EDGE) for x, state in zip(lines, states) if state == B for t in _TOKEN.findall(x)}
+    suspects, asked = set(), set()
+    for t in tokens:
+        if _may_be_misread(t):
+            word, decided = lexicon.judge(low := t.lower())
+            if not decided:
+                asked.add(low)
+            if word or not decided:
+                suspects.add(t)
     for m, tail in _line_ends(lines, states).values():
         asked.update(w.lower() for w in _halves(m.group(1), tail) if w.lower() not in lexicon.counts)
-    return asked
+    return suspects, asked
 
 
 def read_page(
-    text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None, rare: dict[str, Answer] | None = None, states: list[int] | None = None
+    text: str, recurs: dict[int, int], lexicon: Lexicon, page_index: int | None = None, rare: dict[str, Answer] | None = None,
+    states: list[int] | None = None, suspects: set[str] | None = None,
 ) -> tuple[list[tuple[int, str]], str]:
     """``(line number, noise)`` of a page and its repaired text, a blank line between paragraphs.
 
-    ``rare``: the answers to the page's ``questions``; ``states``: its labels, if they are known.
+    ``rare``: the answers to the page's ``questions``; ``states``: its labels, ``suspects``: the only tokens
+    that may be misread, if they are known.
     """
     rare = rare or {}
+    if suspects is not None:
+        suspects = {t for t in suspects if lexicon.right(t, rare)}
     states = label_lines(text, recurs, page_index) if states is None else states
     lines = text.split("\n")
     noise = [(i + 1, STATES[s]) for i, s in enumerate(states) if s in (H, N)]
@@ -414,7 +420,7 @@ def read_page(
         misread = False
         fixed = []
         at = 0
-        for t in _TOKEN.finditer(body):
+        for t in _TOKEN.finditer(body) if suspects is None or any(x in body for x in suspects) else ():
             token = t.group()
             if head and t.end() >= m.end(1) and t.start() <= m.start(1):
                 continue
@@ -460,21 +466,23 @@ def count_tokens(patches: DataFrame, route: str = "ocr") -> DataFrame:
     """
     columns = ["word", "odd", "n", "outside"]
 
-    def rows(counts: tuple[Counter, Counter]) -> pd.DataFrame:
-        everywhere, outside = counts
-        return frame([(word, odd, n, outside[word, odd]) for (word, odd), n in everywhere.items()], columns)
+    def rows(counts: dict[bool, tuple[Counter, Counter]]) -> pd.DataFrame:
+        return frame([(word, odd, n, outside[word]) for odd, (everywhere, outside) in counts.items() for word, n in everywhere.items()], columns)
+
+    def none() -> dict[bool, tuple[Counter, Counter]]:
+        return {odd: (Counter(), Counter()) for odd in (False, True)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+        counts = none()
         for pdf in batches:
             for text, source in zip(pdf["original"], pdf["source"]):
-                found = [(w, False) for w in WORD.findall(text.lower())] + [(t, True) for t in _odd(text)]
-                counts[0].update(found)
-                if source != route:
-                    counts[1].update(found)
-            if len(counts[0]) > 200_000:
+                for odd, found in ((False, WORD.findall(text.lower())), (True, _odd(text))):
+                    counts[odd][0].update(found)
+                    if source != route:
+                        counts[odd][1].update(found)
+            if sum(len(x[0]) for x in counts.values()) > 200_000:
                 yield rows(counts)
-                counts = Counter(), Counter()
+                counts = none()
         yield rows(counts)
 
     words = patches.where("original is not null").select("original", "source").mapInPandas(count, "word string, odd boolean, n bigint, outside bigint")
@@ -599,25 +607,25 @@ def _read(patches: DataFrame, schema: str, rows_of, share: float | None = None)
             for key, text, page, recurs in zip(pdf["patch_id"], pdf["text"], pdf["page"], pdf["recurs"]):
                 known = {} if recurs is None else {r["line_no"]: r["strength"] for r in recurs}
                 states = label_lines(text, known, page)
-                rows.append((key, text, bytes(states), sorted(questions(text, states, lexicon()))))
-            yield frame(rows, ["patch_id", "text", "states", "asked"])
+                rows.append((key, text, bytes(states), *map(sorted, questions(text, states, lexicon()))))
+            yield frame(rows, ["patch_id", "text", "states", "suspects", "asked"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key, text, states, rare in zip(pdf["patch_id"], pdf["text"], pdf["states"], pdf["rare"]):
+            for key, text, states, suspects, rare in zip(pdf["patch_id"], pdf["text"], pdf["states"], pdf["suspects"], pdf["rare"]):
                 answers = {} if rare is None else {r["token"]: (r["n"], r["word"]) for r in rare}
-                noise, repaired = read_page(text, {}, lexicon(), None, answers, list(states))
+                noise, repaired = read_page(text, {}, lexicon(), None, answers, list(states), set(suspects))
                 rows += rows_of(key, noise, repaired)
             yield frame(rows, [x.split()[0] for x in schema.split(", ")])
 
     patch = dict(patches.dtypes)["patch_id"]
     placed = pages.join(recurring_lines(pages), "patch_id", "left").select("patch_id", "text", "page", "recurs")
-    labelled = cut(placed.mapInPandas(label, f"patch_id {patch}, text string, states binary, asked array<string>"))
+    labelled = cut(placed.mapInPandas(label, f"patch_id {patch}, text string, states binary, suspects array<string>, asked array<string>"))
     asked = labelled.select("patch_id", F.explode("asked").alias("token"))
     found = asked.join(rare_words(asked.select("token").distinct(), counts), "token")
     rare = found.groupBy("patch_id").agg(F.collect_list(F.struct("token", "n", "word")).alias("rare"))
-    joined = labelled.select("patch_id", "text", "states").join(rare, "patch_id", "left")
+    joined = labelled.select("patch_id", "text", "states", "suspects").join(rare, "patch_id", "left")
     return joined.mapInPandas(read, schema.replace("KEY", patch))
 
 

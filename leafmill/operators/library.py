@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
@@ -58,16 +58,33 @@ def healed(index: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def evicted(jobs: DataFrame, now: float, keep: int = 50, ttl: float = 7200.0) -> DataFrame:
-    """Finished jobs to drop: those past their time, then the oldest until ``keep`` are left.
+    """Finished jobs to drop: those past their time, then the oldest until ``keep`` are left; ids are unique.
 
-    The order is a top-k, never a sort of all jobs in one task.
+    The jobs that stay are the newest, ``keep`` less the unfinished: a top-k of
+    bounded size, whatever the number of jobs. Nothing is counted beforehand.
     """
     ended = jobs.where("finished_at is not null")
     old = ended.where(F.col("finished_at") < now - ttl)
-    left = jobs.count() - old.count()
-    over = max(0, left - keep)
-    recent = ended.where(F.col("finished_at") >= now - ttl).orderBy("finished_at", "job_id").limit(over)
-    return old.unionByName(recent)
+    recent = ended.where(F.col("finished_at") >= now - ttl)
+    newest = recent.orderBy(F.desc("finished_at"), F.desc("job_id")).limit(keep).select("job_id", "finished_at")
+    ranked = newest.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("finished_at"), F.desc("job_id"))))
+    open_ = jobs.where("finished_at is null").agg(F.count("*").alias("_open"))
+    stay = ranked.crossJoin(F.broadcast(open_)).where(F.col("_k") <= keep - F.col("_open")).select("job_id")  # one row
+    return old.unionByName(recent.join(F.broadcast(stay), "job_id", "left_anti").select(*jobs.columns))
+
+
+def first_entries(rows: DataFrame, path: str, suffix: str) -> DataFrame:
+    """``(folder, first_entry)``: of each directory the first name with the suffix, whatever its case."""
+    p = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    named = rows.where(F.lower(path).endswith(suffix)).select(F.regexp_replace(p, "/[^/]*$", "").alias("folder"), F.regexp_extract(p, "[^/]*$", 0).alias("name"))
+    return named.groupBy("folder").agg(F.min("name").alias("first_entry"))
+
+
+def with_files(index: DataFrame, listing: DataFrame) -> DataFrame:
+    """Adds ``file_exists``: whether the record's path is in a listing of files, in one notation."""
+    files = listing.where("file_path is not null").select(normal_path(F.col("file_path")).alias("_file"), F.lit(True).alias("_there")).distinct()
+    joined = index.join(files, normal_path(index["file_path"]) == F.col("_file"), "left")
+    return joined.withColumn("file_exists", F.coalesce("_there", F.lit(False))).drop("_file", "_there")
 
 
 def folder_view(index: DataFrame, folder: str | None, query: str) -> DataFrame:

@@ -251,3 +251,8 @@ def first_alike(heads: DataFrame, blocks: DataFrame) -> DataFrame:
     alike = F.col("t").startswith(F.left("h", F.lit(HEAD))) | F.col("h").startswith(F.left("t", F.lit(HEAD)))
     found = h.join(b, ["doc_id", "page"]).where(alike).groupBy("doc_id", "page", "head_id").agg(F.min("block_id").alias("match"))
     return heads.join(found, ["doc_id", "page", "head_id"], "left")
+
+
+def used_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of ``texts`` with each ``term`` of their document that the text holds, case-sensitive."""
+    return texts.join(terms.select("doc_id", "term"), "doc_id").where((F.col("term") != "") & F.contains("original", F.col("term")))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _count(text: Column, ch: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, ch, F.lit("")))
+@F.pandas_udf(T.IntegerType())
+def shared_characters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of characters: counts of the characters that both have; null if one is."""
 
+    def one(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        return sum(min(x.count(c), y.count(c)) for c in set(x) & set(y))
 
-def shared_characters(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of characters; per row, over the distinct characters only."""
-    chars = F.array_distinct(F.filter(F.split(a, ""), lambda c: c != ""))
-    return F.aggregate(chars, F.lit(0), lambda acc, c: acc + F.least(_count(a, c), _count(b, c)))
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def bag_f1(a: Column, b: Column) -> Column:

@@ -150,26 +150,57 @@ def merge_run(texts: list[str]) -> list[tuple[int, str]]:
     return [(i, t) for i, t in items if not gone[i]]
 
 
+def open_ends(df: DataFrame, adds: Column, takes: Column, name: str) -> DataFrame:
+    """``name``: how many of the ``adds`` before each block may still be open.
+
+    Each adds one after the ``takes`` of the same block has closed one, if there
+    was any: a queue's length, that is the running sum above its running minimum.
+    """
+    inside = Window.partitionBy(DOC, PAGE).orderBy(BLOCK)
+    step = F.col("_add") - F.col("_take")
+    rows = df.withColumns({"_add": adds.cast("long"), "_take": takes.cast("long")})
+    rows = rows.withColumn("_sum", F.sum(step).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_low", F.min(F.col("_sum") - F.col("_add")).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    pages = rows.groupBy(DOC, PAGE).agg(F.sum(step).alias("_page"), F.min(F.col("_sum") - F.col("_add")).alias("_page_low"))
+    before = Window.partitionBy(DOC).orderBy(PAGE).rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("_before", F.coalesce(F.sum("_page").over(before), F.lit(0)))
+    pages = pages.withColumn("_before_low", F.coalesce(F.min(F.col("_before") + F.col("_page_low")).over(before), F.lit(0))).drop("_page", "_page_low")
+    joined = rows.alias("r").join(pages.alias("p"), _same("r", "p", DOC, PAGE), "left")
+    now = F.col("_before") + F.col("_sum") - step
+    low = F.least(F.lit(0), F.col("_before_low"), F.col("_before") + F.coalesce("_low", F.lit(0)))
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (now - low).alias(name))
+
+
 def merge_continuations(blocks: DataFrame) -> DataFrame:
     """``(doc_id, page, block_id, original)`` after the continuation merge; the first part's place wins.
 
-    A merge never crosses a level-one or -two heading, so each run between two
-    of them is its own task group, however large its document.
+    A document is folded in runs that no merge leaves. A run begins at a
+    level-one or -two heading and at every plain block that can't go on with
+    another: it starts with no letter, or with a capital while no text before
+    it that ends in a word like "of" can still be open. Runs are a few blocks
+    long, however large the document and whether or not it has headings.
     """
     rows = blocks.select(DOC, PAGE, BLOCK, F.coalesce("original", F.lit("")).alias("original"))
-    stops = F.when(F.col("original").rlike(r"^\s*#{1,2}\s"), 1).otherwise(0)
-    runs = running_sum(rows, stops, "_run")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([PAGE, BLOCK], kind="stable").reset_index(drop=True)
-        kept = merge_run(list(pdf["original"]))
-        out = pdf.loc[[i for i, _ in kept], [DOC, PAGE, BLOCK]].copy()
-        out["original"] = [t for _, t in kept]
-        return out
+    text = X.strip(F.col("original"))
+    plain, listed = X.is_plain(text), text.rlike(r"^[-*+]\s")
+    tail = (plain | listed) & text.rlike(r"(?i)\b(?:" + "|".join(TAIL_WORDS) + r")\s*$")
+    capital, new = plain & text.rlike("^[A-Z]"), plain & ~text.rlike("^[A-Za-z]")
+    marked = rows.withColumns({"_tail": tail, "_capital": capital, "_first": text.rlike(r"^#{1,2}\s") | new})
+    queued = open_ends(marked, F.col("_tail"), F.col("_capital") | F.col("_first"), "_open")
+    begins = F.col("_first") | (F.col("_capital") & (F.col("_open") == 0))
+    runs = running_sum(queued, F.when(begins, 1).otherwise(0), "_run")
+    grouped = runs.groupBy(DOC, "_run").agg(F.array_sort(F.collect_list(F.struct(PAGE, BLOCK, "original"))).alias("run")).select(DOC, "run")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, run in zip(pdf[DOC], pdf["run"]):
+                out += [(doc, run[i][PAGE], run[i][BLOCK], t) for i, t in merge_run([x["original"] for x in run])]
+            yield pd.DataFrame(out, columns=[DOC, PAGE, BLOCK, "original"], dtype=object)
 
     types = dict(blocks.dtypes)
     schema = f"{DOC} {types[DOC]}, {PAGE} {types[PAGE]}, {BLOCK} {types[BLOCK]}, original string"
-    return runs.groupBy(DOC, "_run").applyInPandas(fold, schema)
+    return grouped.mapInPandas(fold, schema)
 
 
 def reading_order(keyed: DataFrame) -> DataFrame:

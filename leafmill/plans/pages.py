@@ -33,12 +33,6 @@ def query(sql: str | None = None):
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the first block of each page, as the checking SQL has them."""
-    rows = tables.one_per_block(spark, sf).where("block_id = 0 and original is not null")
-    return printed(rows.select("doc_id", "page", F.posexplode(F.split("original", "\n", -1)).alias("pos", "text")))
-
-
-def all_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of all blocks, numbered through each page."""
     rows = tables.one_per_block(spark, sf).where("original is not null")
     rows = rows.select("doc_id", "page", "block_id", F.posexplode(F.split("original", "\n", -1)).alias("line", "text"))
@@ -57,7 +51,8 @@ def printed(rows: DataFrame) -> DataFrame:
 
 LINES = (
     "(SELECT doc_id, page, pos, text, CASE WHEN length(text) % 11 = 0 THEN 14.0 WHEN length(text) % 7 = 0 THEN 8.0 ELSE 10.0 END::double AS size, length(text) % 3 = 0 AS bold, pos * 12.0::double AS y0 FROM"
-    f" (SELECT doc_id, page, unnest(range(len(l)))::int AS pos, unnest(l) AS text FROM (SELECT doc_id, page, string_split(original, chr(10)) AS l FROM {ONE} WHERE block_id = 0 AND original IS NOT NULL)))"
+    " (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY block_id, line) - 1)::int AS pos, text FROM"
+    f" (SELECT doc_id, page, block_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, page, block_id, string_split(original, chr(10)) AS l FROM {ONE} WHERE original IS NOT NULL))))"
 )
 BODY = f"(SELECT doc_id, size AS body FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(trim(text, ' '))) DESC, min(pos)) AS k FROM {LINES} WHERE page = 0 AND length(trim(text, ' ')) > 0 GROUP BY doc_id, size) WHERE k = 1)"
 _HEADING = f"l.bold AND l.size >= b.body AND length(text) <= 110 AND NOT {has('text', X.CAPTION)} AND NOT {has('text', r'\.$')} AND {has('text', r'^[\p{Lu}\d一-鿿]')}"
@@ -108,7 +103,7 @@ def seq_w06_titles(spark: SparkSession, sf: str) -> DataFrame:
 def topk_o11_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric title, agreed with the index's."""
     meta = L.newest(table(spark, sf, "doc_index")).select("doc_id", F.col("title").alias("meta"))
-    return meta.join(P.geometric_titles(all_lines(spark, sf)), "doc_id", "left").select("doc_id", P.agreed_title(F.col("title"), F.col("meta")).alias("title"))
+    return meta.join(P.geometric_titles(lines(spark, sf)), "doc_id", "left").select("doc_id", P.agreed_title(F.col("title"), F.col("meta")).alias("title"))
 
 
 @query(f"SELECT doc_id, page, pos, round(length(trim(text, ' ')) * bold::int / greatest(length(trim(text, ' ')), 1), 5)::double AS ratio FROM {LINES}")
@@ -133,7 +128,7 @@ def seq_w08_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def seq_w09_tables(spark: SparkSession, sf: str) -> DataFrame:
-    regions_ = words(all_lines(spark, sf)).withColumn("region", F.floor(F.col("pos") / 12).cast("int"))
+    regions_ = words(lines(spark, sf)).withColumn("region", F.floor(F.col("pos") / 12).cast("int"))
     return P.region_tables(regions_)
 
 
@@ -162,7 +157,7 @@ def spatial_j12_clamped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def match_j06_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = all_lines(spark, sf)
+    rows = lines(spark, sf)
     norm = X.alnum_norm(F.col("text"))
     found = P.heading_levels(rows).join(rows, ["doc_id", "page", "pos"]).where("page = 0").groupBy("doc_id", norm.alias("norm")).agg(F.min("level").alias("level"))
     small = P.small_print(rows).select("doc_id", norm.alias("norm"))
@@ -185,11 +180,12 @@ def match_j24_cells(spark: SparkSession, sf: str) -> DataFrame:
     return P.translated_cells(cells, answers)
 
 
-@query(f"SELECT doc_id, page, original FROM (SELECT doc_id, page, original, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_id) AS k FROM {ONE} WHERE original LIKE '#%') WHERE k <= 3")
+@query(f"SELECT doc_id, page, original FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_id) AS k FROM {ONE} WHERE original LIKE '#%') WHERE k <= 3 ORDER BY doc_id, page, block_id LIMIT 9")
 def topk_o05_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three headings of a document, the first nine of all (a sample for a report)."""
     rows = tables.one_per_block(spark, sf).where("original like '#%'")
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block_id"))
-    return rows.withColumn("k", k).where("k <= 3").select("doc_id", "page", "original")
+    return rows.withColumn("k", k).where("k <= 3").orderBy("doc_id", "page", "block_id").limit(9).select("doc_id", "page", "original")
 
 
 @query("SELECT job_id, finished_at FROM job WHERE finished_at IS NOT NULL AND NOT (status = 'running' AND progress < 31) ORDER BY finished_at DESC, job_id LIMIT 8")
@@ -199,9 +195,10 @@ def topk_o08_recent(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("finished_at"), "job_id").limit(8).select("job_id", "finished_at")
 
 
-@query("SELECT doc_id, min(file_path) AS first_path FROM doc_index WHERE file_path LIKE '%.pdf' GROUP BY doc_id")
+@query("SELECT regexp_replace(replace(file_path, chr(92), '/'), '/[^/]*$', '') AS folder, min(regexp_extract(replace(file_path, chr(92), '/'), '[^/]*$', 0)) AS first_entry FROM doc_index WHERE lower(file_path) LIKE '%.pdf' GROUP BY 1")
 def topk_o10_first_path(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "doc_index").where("file_path like '%.pdf'").groupBy("doc_id").agg(F.min("file_path").alias("first_path"))
+    """The first entry of each directory, by name, that has the suffix."""
+    return L.first_entries(table(spark, sf, "doc_index"), "file_path", ".pdf")
 
 
 @query(f"SELECT doc_id, page, label, conf, bbox, (label = 'table' OR EXISTS (SELECT 1 FROM {REGION} t WHERE t.label = 'table' AND t.doc_id = r.doc_id AND t.page = r.page AND greatest(least(r.bbox[3], t.bbox[3]) - greatest(r.bbox[1], t.bbox[1]), 0) * greatest(least(r.bbox[4], t.bbox[4]) - greatest(r.bbox[2], t.bbox[2]), 0) / ((r.bbox[3] - r.bbox[1]) * (r.bbox[4] - r.bbox[2])) > 0.5)) AS is_table FROM {REGION} r WHERE label = 'figure'")
@@ -277,9 +274,13 @@ def pred_p30_residue(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "block_patch").groupBy("source").agg(*[F.sum(F.regexp_count("original", F.lit(v))).alias(k) for k, v in _RESIDUE.items()])
 
 
-@query("SELECT doc_id, title, CASE WHEN regexp_matches(file_path, '^/library/') THEN true ELSE false END AS in_library FROM doc_index")
+_P = "lower(regexp_replace(replace({}, chr(92), '/'), '/+$', ''))"
+
+
+@query(f"SELECT doc_id, title, coalesce({_P.format('file_path')} IN (SELECT {_P.format('file_path')} FROM job WHERE file_path IS NOT NULL), false) AS file_exists FROM doc_index")
 def library_c05_files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "doc_index").select("doc_id", "title", F.coalesce(F.col("file_path").rlike("^/library/"), F.lit(False)).alias("in_library"))
+    """The document list with ``file_exists``, by a listing of files (here those that jobs have read)."""
+    return L.with_files(table(spark, sf, "doc_index"), table(spark, sf, "job").select("file_path")).select("doc_id", "title", "file_exists")
 
 
 @query("SELECT job_id, status, progress FROM job")
@@ -296,13 +297,21 @@ def state_x19_formula_pass(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("patch_id", F.when(F.regexp_count("original", F.lit("[A-Za-z]{2,}")) < 10, "translated").otherwise("original").alias("replaced"))
 
 
-_FIRST, _LAST = "left(original, 12)", "right(original, 12)"
+_COLUMNS = f"SELECT doc_id, page, block_id, {tables._NORM.format('original')} AS t, bbox[1] >= 297.5 AS side FROM {ONE} WHERE original IS NOT NULL AND bbox IS NOT NULL AND {tables._NORM.format('original')} <> ''"
 
 
-@query(f"SELECT patch_id, CASE WHEN {_FIRST} <> '' THEN (instr(original, {_FIRST}) < instr(original, {_LAST}))::int::double END AS score FROM block_patch WHERE original IS NOT NULL")
+@query(f"""
+WITH c AS ({_COLUMNS}), p AS (SELECT doc_id, page, string_agg(t, '' ORDER BY block_id) AS text, list(left(t, 24)) FILTER (NOT side) AS l, list(left(t, 24)) FILTER (side) AS r FROM c GROUP BY doc_id, page)
+SELECT doc_id, page, round(avg((instr(text, a) < instr(text, b))::int), 5)::double AS score FROM (SELECT doc_id, page, text, a, unnest(r) AS b FROM (SELECT doc_id, page, text, r, unnest(l) AS a FROM p WHERE len(r) > 0)) GROUP BY doc_id, page""")
 def agg_j25_order_score(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = F.filter(F.array(F.struct(F.left("original", F.lit(12)).alias("left"), F.right("original", F.lit(12)).alias("right"))), lambda p: p["left"] != "")
-    return table(spark, sf, "block_patch").where("original is not null").select("patch_id", M.order_score(F.col("original"), pairs).alias("score"))
+    """Share of the left column's beginnings that stand before the right column's in the text of their page."""
+    t = X.alnum_norm(F.col("original"))
+    rows = tables.one_per_block(spark, sf).where("original is not null and bbox is not null").select("doc_id", "page", "block_id", t.alias("t"), (F.get("bbox", F.lit(0)) >= 297.5).alias("side")).where("t <> ''")
+    head = F.left("t", F.lit(24))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "t"))), lambda x: x["t"]), "")
+    pages = rows.groupBy("doc_id", "page").agg(text.alias("text"), F.collect_list(F.when(~F.col("side"), head)).alias("l"), F.collect_list(F.when(F.col("side"), head)).alias("r"))
+    pairs = F.flatten(F.transform("l", lambda a: F.transform("r", lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    return pages.where("size(l) > 0 and size(r) > 0").select("doc_id", "page", F.round(M.order_score(F.col("text"), pairs), 5).alias("score"))
 
 
 _SPAN = f"(SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY bbox, label, conf))::int AS span, bbox, round(conf * 1000)::int % 7 AS ink FROM {REGION})"
@@ -319,11 +328,11 @@ def spatial_j28_ghosts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH h AS (SELECT doc_id, page, block_id AS head_id, {tables._NORM.format('left(original, 30)')} AS h FROM {ONE} WHERE block_id % 3 = 0), b AS (SELECT doc_id, page, block_id, {tables._NORM.format('original')} AS t FROM {ONE})
+WITH h AS (SELECT doc_id, page, block_id AS head_id, {tables._NORM.format('original')} AS h FROM {ONE}), b AS (SELECT doc_id, page, block_id, {tables._NORM.format('original')} AS t FROM {ONE})
 SELECT h.doc_id, h.page, h.head_id, min(b.block_id) AS match FROM h LEFT JOIN b ON h.doc_id = b.doc_id AND h.page = b.page AND h.h <> '' AND t <> '' AND (starts_with(t, left(h.h, 24)) OR starts_with(h.h, left(t, 24))) GROUP BY h.doc_id, h.page, h.head_id""")
 def match_j05_prefix(spark: SparkSession, sf: str) -> DataFrame:
     b = tables.one_per_block(spark, sf)
-    heads = b.where("block_id % 3 = 0").select("doc_id", "page", F.col("block_id").alias("head_id"), F.left("original", F.lit(30)).alias("text"))
+    heads = b.select("doc_id", "page", F.col("block_id").alias("head_id"), F.col("original").alias("text"))
     return J.first_alike(heads, b.select("doc_id", "page", "block_id", F.col("original").alias("text"))).select("doc_id", "page", "head_id", "match")
 
 

@@ -37,12 +37,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def one_per_block(spark: SparkSession, sf: str) -> DataFrame:
-    """The block table with each key once."""
+    """The block table with each key once: of rows that share it one whole row, the largest."""
     rows = table(spark, sf, "block")
-    return rows.groupBy("doc_id", "page", "block_id").agg(F.max("original").alias("original"), F.max("translated").alias("translated"), F.max("bbox").alias("bbox"))
+    one = F.max(F.struct("original", "translated", "bbox")).alias("r")
+    return rows.groupBy("doc_id", "page", "block_id").agg(one).select("doc_id", "page", "block_id", "r.original", "r.translated", "r.bbox")
 
 
-ONE = "(SELECT doc_id, page, block_id, max(original) AS original, max(translated) AS translated, max(bbox) AS bbox FROM block GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY doc_id, page, block_id")
+ONE = (
+    "(SELECT doc_id, page, block_id, original, translated, bbox FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, block_id"
+    " ORDER BY original DESC NULLS LAST, translated DESC NULLS LAST, bbox DESC NULLS LAST) AS k FROM block) WHERE k = 1)"
+)
 REGION = "(SELECT DISTINCT doc_id, page, label, conf, bbox FROM layout_region WHERE len(bbox) = 4 AND bbox[3] > bbox[1] AND bbox[4] > bbox[2] AND conf >= 0.5)"
 
 
@@ -50,6 +54,22 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     return S.valid(table(spark, sf, "layout_region"))
 
 
+def region_texts(spark: SparkSession, sf: str, label: str) -> DataFrame:
+    """``(doc_id, page, text)`` of the blocks that lie mostly in a region of this label."""
+    b = one_per_block(spark, sf).where("original is not null and bbox is not null").select("doc_id", "page", "original", F.col("bbox").alias("b"))
+    r = regions(spark, sf).where(F.col("label") == label).select("doc_id", "page", F.col("bbox").alias("r"))
+    inside = G.covered(F.col("b"), F.col("r")) >= 0.6
+    return b.join(r, ["doc_id", "page"]).where(inside).select("doc_id", "page", F.col("original").alias("text")).distinct()
+
+
+def region_texts_sql(label: str) -> str:
+    both = "greatest(least(b.bbox[3], r.bbox[3]) - greatest(b.bbox[1], r.bbox[1]), 0) * greatest(least(b.bbox[4], r.bbox[4]) - greatest(b.bbox[2], r.bbox[2]), 0)"
+    return (
+        f"(SELECT DISTINCT b.doc_id, b.page, b.original AS text FROM {ONE} b JOIN {REGION} r ON b.doc_id = r.doc_id AND b.page = r.page WHERE r.label = '{label}'"
+        f" AND b.original IS NOT NULL AND b.bbox IS NOT NULL AND {both} / ((b.bbox[3] - b.bbox[1]) * (b.bbox[4] - b.bbox[2])) >= 0.6)"
+    )
+
+
 # Row generators
 
 _TRIMMED = f"list_transform({paragraphs_sql(strip('text'))}, lambda p: {delete('p', r'^\s+|\s+$')})"
@@ -137,7 +157,7 @@ def match_j02_segments(spark: SparkSession, sf: str) -> DataFrame:
     return J.attach_segments(one_per_block(spark, sf), raw)
 
 
-_REG_TEXT = f"(SELECT DISTINCT doc_id, page, {_NORM.format('left(original, 40)')} AS r FROM {ONE} WHERE block_id = 0 AND {_NORM.format('left(original, 40)')} <> '')"
+_REG_TEXT = f"(SELECT DISTINCT doc_id, page, {_NORM.format('text')} AS r FROM {region_texts_sql('abandon')} WHERE {_NORM.format('text')} <> '')"
 
 
 @query(f"""
@@ -145,16 +165,15 @@ SELECT b.doc_id, b.page, b.block_id FROM (SELECT *, {_NORM.format('original')} A
 WHERE NOT EXISTS (SELECT 1 FROM {_REG_TEXT} g WHERE g.doc_id = b.doc_id AND g.page = b.page AND n <> '' AND
  (n = r OR (length(r) >= 8 AND (starts_with(n, left(r, 20)) OR starts_with(r, left(n, 20)) OR (length(n) >= 12 AND contains(r, n))))))""")
 def match_j07_abandoned(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = one_per_block(spark, sf)
-    texts = blocks.where("block_id = 0").select("doc_id", "page", F.left("original", F.lit(40)).alias("text"))
-    return J.drop_abandoned(blocks, texts).select("doc_id", "page", "block_id")
+    """Blocks without the texts of abandoned regions."""
+    return J.drop_abandoned(one_per_block(spark, sf), region_texts(spark, sf, "abandon")).select("doc_id", "page", "block_id")
 
 
 @query()
 def match_j08_title_runs(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = one_per_block(spark, sf)
-    titles = blocks.where("block_id = 1").select("doc_id", "page", X.alnum_norm(F.left("original", F.lit(24))).alias("norm"), F.lit(2).alias("level"))
-    return J.split_title_runs(blocks.where("original is not null"), titles)
+    """Blocks against the texts of the title regions of their page."""
+    titles = region_texts(spark, sf, "title").select("doc_id", "page", X.alnum_norm(F.col("text")).alias("norm"), F.lit(2).alias("level"))
+    return J.split_title_runs(one_per_block(spark, sf).where("original is not null"), titles)
 
 
 @query(f"""
@@ -179,17 +198,15 @@ def match_j16_title_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = "Abstract|Introduction|Related Work|Background|Motivation|Methods|Methodology|Approach|Results|Experiments|Evaluation|Discussion|Analysis|Conclusion|Conclusions|Limitations|Acknowledgments|Acknowledgements|References|Appendix|Preliminaries"
-_GLUED = "(left(text, 60) || ' **Abstract** ' || substring(text, 61))"
 _INLINE = rf"(?s)^(.{{40,}}?)\s+(\*\*(?:{_NAMES})\*\*)\s+(\S.*)$"
 
 
 @query(f"""
-SELECT doc_id, unnest(range(len(p)))::int AS pos, unnest(p) AS part FROM (SELECT doc_id, CASE WHEN {has(_GLUED, _INLINE)} THEN
- [rtrim(regexp_extract({_GLUED}, {q(_INLINE)}, 1), ' '), '## ' || regexp_extract({_GLUED}, {q(_INLINE)}, 2), regexp_extract({_GLUED}, {q(_INLINE)}, 3)]
- ELSE [{_GLUED}] END AS p FROM documents)""")
+SELECT doc_id, unnest(range(len(p)))::int AS pos, unnest(p) AS part FROM (SELECT doc_id, CASE WHEN {has('text', _INLINE)} THEN
+ [rtrim(regexp_extract(text, {q(_INLINE)}, 1), ' '), '## ' || regexp_extract(text, {q(_INLINE)}, 2), regexp_extract(text, {q(_INLINE)}, 3)]
+ ELSE [text] END AS p FROM documents WHERE text IS NOT NULL)""")
 def match_j17a_inline_sections(spark: SparkSession, sf: str) -> DataFrame:
-    glued = F.concat(F.left("text", F.lit(60)), F.lit(" **Abstract** "), F.substring("text", 61, 1 << 30))
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(J.split_inline_sections(glued)).alias("pos", "part"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(J.split_inline_sections(F.col("text"))).alias("pos", "part"))
 
 
 _PLAIN = "lower(regexp_replace(coalesce({}, ''), '[*_`#\\s]+', '', 'g'))"
@@ -254,11 +271,15 @@ def match_j23_apply(spark: SparkSession, sf: str) -> DataFrame:
     return J.apply_patches(one_per_block(spark, sf).select(*key, *_FIELDS), _latest(spark, sf), key, _FIELDS)
 
 
-@query("SELECT patch_id, array_to_string(list_filter(['coating', 'signal', 'zzz'], lambda k: contains(original, k)), ',') AS used FROM block_patch WHERE original IS NOT NULL")
+_TITLE_TERMS = "(SELECT DISTINCT doc_id, unnest(regexp_extract_all(title, '[A-Za-z]{6,}')) AS term FROM doc_index)"
+
+
+@query(f"SELECT DISTINCT p.patch_id, t.term FROM block_patch p JOIN {_TITLE_TERMS} t ON p.doc_id = t.doc_id WHERE contains(p.original, t.term)")
 def match_j19_glossary(spark: SparkSession, sf: str) -> DataFrame:
-    terms = F.create_map(*[F.lit(x) for x in ("coating", "层", "signal", "信号", "zzz", "-")])
-    used = F.array_join(F.map_keys(B.pruned_glossary(terms, F.col("original"))), ",")
-    return table(spark, sf, "block_patch").where("original is not null").select("patch_id", used.alias("used"))
+    """The terms of a document's titles that its patches use, case-sensitive."""
+    terms = table(spark, sf, "doc_index").select("doc_id", F.explode(F.regexp_extract_all("title", F.lit("([A-Za-z]{6,})"))).alias("term")).distinct()
+    patches = table(spark, sf, "block_patch").where("original is not null").select("patch_id", "doc_id", "original")
+    return J.used_terms(patches, terms).select("patch_id", "term").distinct()
 
 
 # Sequence
@@ -442,17 +463,40 @@ def agg_a04_mode(spark: SparkSession, sf: str) -> DataFrame:
     return M.weighted_mode(rows, ["doc_id"], "label", F.round(F.col("conf") * 1000).cast("bigint"), "at")
 
 
-@query(f"""
-SELECT doc_id, count(*) AS n_blocks, count(DISTINCT page) AS n_pages, sum(length(original))::bigint AS n_chars, count(*) FILTER (original LIKE '#%') AS n_headings,
- count(*) FILTER (length(original) < 20) AS n_tiny, count(*) FILTER (contains(original, chr(65533))) AS n_broken, count(*) FILTER (original IS NULL) AS n_null FROM {ONE} GROUP BY doc_id""")
+_QUALITY = {
+    "sentence_headings": r"^#{1,6}\s.*[?!。]\s*$",
+    "raised_residue": r"[A-Za-z]{2,}[⁰¹²³⁴⁵⁶⁷⁸⁹ⁱⁿ]+[A-Za-z]{2,}",
+    "broken_glyphs": "�",
+    "entities": r"&(?:nbsp|amp|lt|gt);",
+    "image_refs": r"!\[",
+    "formulas": r"\$[^$]+\$|\\[a-zA-Z]+",
+}
+_COUNTED = ", ".join(f"coalesce(sum(len(regexp_extract_all(original, {q(v)}))), 0)::bigint AS {k}" for k, v in _QUALITY.items())
+_REPORT = f"""
+SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS paras, coalesce(sum(length(original)), 0)::bigint AS chars, count(*) FILTER (original LIKE '#%') AS headings,
+ count(*) FILTER (length(regexp_replace(original, '[*_`#\\s]+', '', 'g')) < 5) AS tiny_paras, count(DISTINCT page) - count(DISTINCT CASE WHEN original IS NOT NULL THEN page END) AS none_pages, {_COUNTED} FROM {ONE} GROUP BY doc_id"""
+
+
+@query(_REPORT)
 def agg_a11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality report of each document: sizes, residues, broken glyphs, formulas, pages without text."""
     o = F.col("original")
     return one_per_block(spark, sf).groupBy("doc_id").agg(
-        F.count("*").alias("n_blocks"), F.count_distinct("page").alias("n_pages"), F.sum(F.length(o)).alias("n_chars"), F.count_if(o.startswith("#")).alias("n_headings"),
-        F.count_if(F.length(o) < 20).alias("n_tiny"), F.count_if(F.contains(o, F.lit("�"))).alias("n_broken"), F.count_if(o.isNull()).alias("n_null"),
+        F.count_distinct("page").alias("pages"), F.count("*").alias("paras"), F.coalesce(F.sum(F.length(o)), F.lit(0)).alias("chars"), F.count_if(o.startswith("#")).alias("headings"),
+        F.count_if(F.length(X.markdown_plain(o)) < 5).alias("tiny_paras"), (F.count_distinct("page") - F.count_distinct(F.when(o.isNotNull(), F.col("page")))).alias("none_pages"),
+        *[F.coalesce(F.sum(F.regexp_count(o, F.lit(v))), F.lit(0)).alias(k) for k, v in _QUALITY.items()],
     )
 
 
+_SUMS = ("pages", "paras", "chars", "headings", "tiny_paras", "none_pages", *_QUALITY)
+
+
+@query(f"SELECT {', '.join(f'sum({c})::bigint AS {c}' for c in _SUMS)}, round(100.0 * sum(none_pages) / sum(pages), 3)::double AS none_percent, round(100.0 * sum(tiny_paras) / sum(paras), 3)::double AS tiny_percent FROM ({_REPORT})")
+def agg_a11_totals(spark: SparkSession, sf: str) -> DataFrame:
+    percent = lambda a, b, name: F.round(100.0 * F.sum(a) / F.sum(b), 3).alias(name)
+    return agg_a11_quality(spark, sf).agg(*[F.sum(c).alias(c) for c in _SUMS], percent("none_pages", "pages", "none_percent"), percent("tiny_paras", "paras", "tiny_percent"))
+
+
 _RANK = "list_extract(list_sort(list(v)), (round_even((count(*) - 1) * {} / 100.0, 0) + 1)::int)"
 
 
@@ -467,9 +511,24 @@ def agg_a09_signature(spark: SparkSession, sf: str) -> DataFrame:
     return one_per_block(spark, sf).agg((F.count_distinct("doc_id", "page") * 1000000 + F.count("*") * 1000 + F.count_if(F.col("translated") != "")).alias("signature"))
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (translated IS NOT NULL) AS hits, round(avg(length(original)), 4) AS mean_chars, max(length(original)) AS most FROM block_patch GROUP BY source")
+_ROUTES = "SELECT doc_id, page, bool_or(source IN ('vlm', 'ocr')) AS vision, bool_or(source = 'textlayer') AS layer FROM block_patch GROUP BY doc_id, page"
+
+
+@query(f"""
+SELECT p.doc_id, parse_total, vlm_pages, vlm_fallback, tr_total, tr_cache_hit FROM
+ (SELECT doc_id, count(*) AS parse_total, count(*) FILTER (vision) AS vlm_pages, count(*) FILTER (vision AND layer) AS vlm_fallback FROM ({_ROUTES}) GROUP BY doc_id) p
+ JOIN (SELECT doc_id, count(DISTINCT patch_id) AS tr_total, count(DISTINCT patch_id) - count(DISTINCT (original, target_lang)) AS tr_cache_hit FROM block_patch WHERE original IS NOT NULL GROUP BY doc_id) t ON p.doc_id = t.doc_id""")
 def agg_a10_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "block_patch").groupBy("source").agg(F.count("*").alias("n"), F.count("translated").alias("hits"), F.round(F.avg(F.length("original")), 4).alias("mean_chars"), F.max(F.length("original")).alias("most"))
+    """Counters of a document's run: pages, those of the vision route and those that fell back, texts and those met before."""
+    patches = table(spark, sf, "block_patch")
+    vision, layer = F.bool_or(F.col("source").isin("vlm", "ocr")).alias("vision"), F.bool_or(F.col("source") == "textlayer").alias("layer")
+    pages = patches.groupBy("doc_id", "page").agg(vision, layer).groupBy("doc_id").agg(
+        F.count("*").alias("parse_total"), F.count_if("vision").alias("vlm_pages"), F.count_if(F.col("vision") & F.col("layer")).alias("vlm_fallback")
+    )
+    texts = patches.where("original is not null").groupBy("doc_id").agg(
+        F.count_distinct("patch_id").alias("tr_total"), (F.count_distinct("patch_id") - F.count_distinct("original", F.coalesce("target_lang", F.lit("")))).alias("tr_cache_hit")
+    )
+    return pages.join(texts, "doc_id").select("doc_id", "parse_total", "vlm_pages", "vlm_fallback", "tr_total", "tr_cache_hit")
 
 
 @query("SELECT folder_id, count(*) AS n FROM doc_index WHERE folder_id IS NOT NULL GROUP BY folder_id")
@@ -583,7 +642,7 @@ def sink_k11_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MEMO_ROWS = (
-    f"(SELECT CASE WHEN page % 2 = 0 THEN 'text' ELSE 'vision' END AS layer, {key_sql('doc_id', 'page')} AS key, count(*)::varchar AS payload FROM block WHERE page % 5 <> 4 GROUP BY doc_id, page)"
+    f"(SELECT CASE WHEN source = 'textlayer' THEN 'text' ELSE 'vision' END AS layer, {key_sql('doc_id', 'page')} AS key, count(DISTINCT patch_id)::varchar AS payload FROM block_patch GROUP BY 1, doc_id, page)"
 )
 
 
@@ -592,12 +651,13 @@ WITH s AS (SELECT doc_id, unnest(range(page_count))::int AS page FROM {_NEWEST}
 SELECT s.doc_id, s.page, coalesce(t.payload, v.payload) AS payload FROM s LEFT JOIN m t ON t.layer = 'text' AND t.key = {key_sql('s.doc_id', 's.page')}
 LEFT JOIN m v ON v.layer = 'vision' AND v.key = {key_sql('s.doc_id', 's.page')}""")
 def memo_j18_rebuild(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of each document with what the memo knows of them: text layer first, then vision."""
+    """Pages of each document with what the memo of the patches knows of them: text layer first, then vision."""
     pages = L.newest(table(spark, sf, "doc_index")).where("page_count > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page"))
     key = X.content_key(F.col("doc_id"), F.col("page"))
     spine = pages.withColumn("text_key", key).withColumn("vision_key", key)
-    layer = F.when(F.col("page") % 2 == 0, "text").otherwise("vision")
-    memo = table(spark, sf, "block").where("page % 5 <> 4").groupBy("doc_id", "page").agg(F.count("*").cast("string").alias("payload")).select(layer.alias("layer"), X.content_key(F.col("doc_id"), F.col("page")).alias("key"), "payload")
+    layer = F.when(F.col("source") == "textlayer", "text").otherwise("vision").alias("layer")
+    counted = table(spark, sf, "block_patch").groupBy(layer, "doc_id", "page").agg(F.count_distinct("patch_id").cast("string").alias("payload"))
+    memo = counted.select("layer", X.content_key(F.col("doc_id"), F.col("page")).alias("key"), "payload")
     return L.memo_read(spine, memo, ["text", "vision"]).select("doc_id", "page", "payload")
 
 

@@ -32,6 +32,35 @@ def test_merge_frame(spark):
     assert W.merge_continuations(df.limit(0)).count() == 0
 
 
+def test_runs_are_short_and_lose_no_merge(spark):
+    rng = random.Random(6)
+    starts = ["The", "a", "so", "2 of", "量", "- item", "* Item", "# One", "### Three", "| t |", "Figure 3: x", "![a](b)", "", None, "É", "“A"]
+    ends = ["end.", "of", "THE", "goes on", "hyphen-", "about", "done", "了", ""]
+    rows = []
+    for d in range(60):
+        weights = [rng.random() ** 3 for _ in starts], [rng.random() ** 3 for _ in ends]
+        for i in range(rng.randint(1, 60)):
+            a, b = rng.choices(starts, weights[0])[0], rng.choices(ends, weights[1])[0]
+            rows.append((f"d{d}", i // 7, i % 7, None if a is None else f"{a} {b}"))
+    df = spark.createDataFrame(rows, "doc_id string, page int, block_id int, original string")
+    want = []
+    for d in {r[0] for r in rows}:
+        of_doc = sorted((r for r in rows if r[0] == d), key=lambda r: r[:3])
+        want += [(*of_doc[i][:3], t) for i, t in W.merge_run([r[3] for r in of_doc])]
+    assert sorted(tuple(r) for r in W.merge_continuations(df).collect()) == sorted(want)
+
+
+def test_open_ends(spark):
+    rng = random.Random(7)
+    rows = [("d", i // 5, i % 5, rng.random() < 0.4, rng.random() < 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, block_id int, a boolean, t boolean")
+    n, want = 0, []
+    for *_, a, t in rows:
+        want.append(n)
+        n = max(0, n - t) + a
+    assert [r.n for r in W.open_ends(df, F.col("a"), F.col("t"), "n").orderBy("page", "block_id").collect()] == want
+
+
 def test_reading_order(spark):
     left = [("d", 0, i, False, 50.0, 280.0, 100.0 + i * 20) for i in (0, 2, 4, 6)]
     right = [("d", 0, i, False, 310.0, 540.0, 90.0 + i * 20) for i in (1, 3, 5, 7)]

@@ -511,6 +511,41 @@ def split_at_norm(body: str, norm: str) -> tuple[str, str] | None:
     return None if left else (body.rstrip(), "")
 
 
+def split_at(body: Column, norm: Column) -> Column:
+    """Column form of ``split_at_norm``: ``struct<head, rest>``, null where the body doesn't begin with ``norm``."""
+    gap = "[^a-z0-9]*"
+    pattern = F.concat(F.lit("(?is)^"), F.regexp_replace(norm, "([a-z0-9])", gap + "$1"))
+    head = F.call_function("regexp_extract", body, pattern, F.lit(0))
+    parts = F.struct(F.regexp_replace(head, r"\s+$", "").alias("head"), F.regexp_replace(F.substring(body, F.length(head) + 1, F.length(body)), r"^\s+", "").alias("rest"))
+    return F.when((norm != "") & (head != ""), parts)
+
+
+def upright(c: Column) -> Column:
+    """Emphasis that holds ideographs becomes bold; they have no italics."""
+    return F.regexp_replace(c, r"(?<!\*)\*([^*\n]*[㐀-䶿一-鿿][^*\n]*)\*(?!\*)", r"**$1**")
+
+
+def decode_tail(raw: bytes | None, most: int = 400) -> str:
+    """The end of a log as one line: UTF-8, where need be after up to three bytes of a cut character, else GBK."""
+    if not raw:
+        return ""
+    for skip in range(4):
+        try:
+            text = raw[skip:].decode("utf-8")
+            break
+        except UnicodeDecodeError:
+            continue
+    else:
+        text = raw.decode("gbk", "replace")
+    return re.sub(r"\r\n|\r|\n", " ", text[-most:])
+
+
+@F.pandas_udf(T.StringType())
+def log_tail(values: pd.Series) -> pd.Series:
+    """Column form of ``decode_tail``."""
+    return pd.Series([decode_tail(x) for x in values], dtype=object)
+
+
 _SCRIPT = re.compile(r"([_^])(\{[^{}]*\}|[A-Za-z0-9+\-]+)")
 _SCRIPTED = re.compile(r"([(\[{\"',_]*)([A-Za-zα-ωΑ-Ω]{1,2})((?:[_^](?:\{[^{}]*\}|[A-Za-z0-9+\-]+))+)([)\]}\"',.;:!?_]*)")
 

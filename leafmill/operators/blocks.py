@@ -59,3 +59,8 @@ def overlay_segments(blocks: DataFrame) -> DataFrame:
     own = F.when(F.col("bbox").isNotNull(), F.array(F.struct(F.col("page").alias("page"), F.col("bbox").alias("bbox"))))
     segments = F.when(F.size("bboxes") > 0, F.col("bboxes")).otherwise(own)
     return blocks.select("doc_id", "block_id", F.explode(segments).alias("s")).select("doc_id", "block_id", "s.page", "s.bbox")
+
+
+def flat(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """Pages with arrays of blocks as rows of blocks with their position."""
+    return pages.select("doc_id", "page", F.posexplode(blocks).alias("pos", "b")).select("doc_id", "page", "pos", "b.*")

@@ -131,3 +131,42 @@ def normal_path(c: Column) -> Column:
 
 def export_name(title: Column, day: Column) -> Column:
     return F.concat(X.title_from_path(title), F.lit("-双语-"), F.date_format(day, "yyyyMMdd"), F.lit(".md"))
+
+
+def rekeyed(sessions: DataFrame, moves: DataFrame) -> DataFrame:
+    """Sessions after some got another key; one that had the new key before gives way and hands over its reader.
+
+    ``sessions``: ``key, title, reader``; ``moves``: ``old_key, new_key, title``, each old key once.
+    """
+    s, m = sessions.alias("s"), moves.alias("m")
+    carried = sessions.groupBy("key").agg(F.max("reader").alias("_reader")).alias("c")
+    moved = (
+        s.join(m, F.col("s.key") == F.col("m.old_key"))
+        .join(carried, F.col("m.new_key") == F.col("c.key"), "left")
+        .select(F.col("m.new_key").alias("key"), F.coalesce("m.title", "s.title").alias("title"), F.coalesce("s.reader", "c._reader").alias("reader"))
+    )
+    gone = moves.select(F.col("old_key").alias("key")).unionByName(moves.join(sessions.select(F.col("key").alias("old_key")), "old_key", "left_semi").select(F.col("new_key").alias("key"))).distinct()
+    return sessions.join(gone, "key", "left_anti").select("key", "title", "reader").unionByName(moved)
+
+
+def export_decision(cached: Column, same_runs: Column, running: Column, most: int = 1) -> Column:
+    """What a request for an export gets: a finished product, the run that is on, a refusal, or a run of its own."""
+    return F.when(cached, "cached").when(same_runs, "reuse").when(running >= most, "refused").otherwise("spawn")
+
+
+def slowed(rate: Column, limited: Column, most: int = 3) -> Column:
+    """Requests per second after so many answers of a limited rate: halved each time, ``most`` times, never below 1."""
+    return F.greatest(F.lit(1.0), rate / F.pow(F.lit(2.0), F.least(limited, F.lit(most))))
+
+
+def within(path: Column, root: str) -> Column:
+    """Whether a path stays under a folder: in one notation, with no step up."""
+    p = normal_path(path)
+    return F.coalesce((p == root) | p.startswith(root.rstrip("/") + "/"), F.lit(False)) & ~F.coalesce(p.rlike(r"(^|/)\.\.(/|$)"), F.lit(True))
+
+
+def report_lines(quality: DataFrame, columns: list[str]) -> DataFrame:
+    """``(rank, line)``: a Markdown table of a per-document report, a heading and a rule before its rows."""
+    cells = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+    head = quality.sparkSession.createDataFrame([("", f"| doc_id | {' | '.join(columns)} |"), ("-", f"|{'---|' * (len(columns) + 1)}")], "rank string, line string")
+    return head.unionByName(quality.select(F.col("doc_id").alias("rank"), cells([F.col("doc_id"), *[F.col(c).cast("string") for c in columns]]).alias("line")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
@@ -142,3 +142,20 @@ def duplicate_boxes(spans: DataFrame, share: float = 0.3) -> DataFrame:
     less = (F.col("i.ink") < F.col("o.ink")) | ((F.col("i.ink") == F.col("o.ink")) & (F.col("i.span") > F.col("o.span")))
     ghosts = a.join(b, _on_page() & (F.col("i.span") != F.col("o.span")) & (both >= share) & less, "left_semi")
     return ghosts.unionByName(spans.where("ink = 0")).distinct()
+
+
+def cluster_columns(regions: DataFrame, width: float, gap: float = 6.0) -> DataFrame:
+    """Adds ``side`` and ``cluster``: boxes of a column that follow each other by less than ``gap``."""
+    b = F.col("bbox")
+    rows = regions.withColumn("side", F.when((G.edge(b, 0) + G.edge(b, 2)) / 2 < 0.52 * width, 0).otherwise(1))
+    order = Window.partitionBy("doc_id", "page", "side").orderBy(G.edge(b, 1), "bbox")
+    lowest = F.max(G.edge(b, 3)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(G.edge(b, 1) - lowest >= gap, F.lit(True)).cast("int")
+    return rows.withColumn("_new", fresh).withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+
+
+def touching(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Rows of ``inner`` that meet a box of ``outer`` on their page, once each."""
+    i, o = inner.alias("i"), outer.select("doc_id", "page", F.col("bbox").alias("o")).alias("o")
+    same = (F.col("i.doc_id") == F.col("o.doc_id")) & (F.col("i.page") == F.col("o.page"))
+    return i.join(o, same & (G.intersection(F.col("i.bbox"), F.col("o.o")) > 0), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.plans import pages, scalars, tables
+from leafmill.plans import pages, records, scalars, tables
 
-QUERIES = {**scalars.QUERIES, **tables.QUERIES, **pages.QUERIES}
-ORACLES = {**scalars.ORACLES, **tables.ORACLES, **pages.ORACLES}
+QUERIES = {**scalars.QUERIES, **tables.QUERIES, **pages.QUERIES, **records.QUERIES}
+ORACLES = {**scalars.ORACLES, **tables.ORACLES, **pages.ORACLES, **records.ORACLES}

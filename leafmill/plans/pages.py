@@ -12,6 +12,7 @@ from leafmill.operators import library as L
 from leafmill.operators import lines as P
 from leafmill.operators import match as J
 from leafmill.operators import metrics as M
+from leafmill.operators import sequence as W
 from leafmill.operators import spatial as S
 from leafmill.plans import tables
 from leafmill.plans.scalars import has, q
@@ -290,13 +291,6 @@ def library_c03_public(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not c.startswith("_")])
 
 
-@query("SELECT patch_id, CASE WHEN len(regexp_extract_all(original, '[A-Za-z]{2,}')) < 10 THEN 'translated' ELSE 'original' END AS replaced FROM block_patch WHERE original IS NOT NULL AND (contains(original, '$') OR contains(original, chr(92)) OR contains(original, '='))")
-def state_x19_formula_pass(spark: SparkSession, sf: str) -> DataFrame:
-    """Which field a recognised formula block replaces: few words, the answer; many, the original, to be asked again."""
-    rows = table(spark, sf, "block_patch").where(F.col("original").rlike(r"[$\\=]"))
-    return rows.select("patch_id", F.when(F.regexp_count("original", F.lit("[A-Za-z]{2,}")) < 10, "translated").otherwise("original").alias("replaced"))
-
-
 _COLUMNS = f"SELECT doc_id, page, block_id, {tables._NORM.format('original')} AS t, bbox[1] >= 297.5 AS side FROM {ONE} WHERE original IS NOT NULL AND bbox IS NOT NULL AND {tables._NORM.format('original')} <> ''"
 
 
@@ -346,3 +340,35 @@ def agg_a18_arg_max(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT source, count(*) FILTER (regexp_matches(original, '[α-ωΑ-Ω\\x{1D400}-\\x{1D7FF}]')) AS math_values FROM block_patch GROUP BY source")
 def agg_a16_math_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "block_patch").groupBy("source").agg(F.count_if(F.col("original").rlike(r"[α-ωΑ-Ω\x{1D400}-\x{1D7FF}]")).alias("math_values"))
+
+
+def page_chain(blocks: DataFrame, boxes: DataFrame, width: float) -> DataFrame:
+    """``(doc_id, page, order, part, text)``: a page's paragraphs after the whole chain.
+
+    Blocks inside figures and tables go, captions excepted. The texts lose
+    their HTML and raised letters, sentences set as headings become bold,
+    section names in a paragraph start their own. Blocks are put in reading
+    order; each figure's reference follows its caption, part 9, or else the
+    page. A page without blocks has no rows.
+    """
+    figures = boxes.where("label in ('figure', 'table')")
+    free = F.col("bbox").isNull() | F.col("original").rlike(X.CAPTION)
+    shown = S.outside(blocks.where(~free), figures, 0.6).unionByName(blocks.where(free))
+    clean = X.demote_sentence_headings(X.unraised(X.clean_html(F.col("original"))))
+    keyed = shown.select(
+        "doc_id", "page", F.col("block_id").alias("pos"), F.coalesce(X.is_image(F.col("original")), F.lit(False)).alias("image"),
+        F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(2)).alias("x1"), F.get("bbox", F.lit(1)).alias("y0"), F.lit(width).alias("width"),
+    )
+    ordered = W.reading_order(keyed).select("doc_id", "page", "pos", "order")
+    texts = shown.select("doc_id", "page", F.col("block_id").alias("pos"), F.posexplode(J.split_inline_sections(clean)).alias("part", "text")).where("trim(text) <> ''")
+    body = texts.join(ordered, ["doc_id", "page", "pos"])
+    w = Window.partitionBy("doc_id", "page").orderBy("bbox", "label")
+    named = figures.groupBy("doc_id", "page", "bbox").agg(F.min("label").alias("label")).withColumn("k", F.row_number().over(w) - 1)
+    name = F.format_string("![](%s_p%03d_%02d.png)", F.when(F.col("label") == "table", "tab").otherwise("fig"), F.col("page"), F.col("k"))
+    captions = body.where(F.col("text").rlike(X.CAPTION) & (F.col("part") == 0)).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("order")) - 1)
+    last = body.groupBy("doc_id", "page").agg(F.max("order").alias("_last"))
+    put = (
+        named.withColumn("text", name).join(last, ["doc_id", "page"]).join(captions.select("doc_id", "page", "k", "order"), ["doc_id", "page", "k"], "left")
+        .select("doc_id", "page", F.coalesce("order", F.col("_last") + 1).alias("order"), (F.lit(9) + F.when(F.col("order").isNull(), F.col("k")).otherwise(0)).cast("int").alias("part"), "text")
+    )
+    return body.select("doc_id", "page", "order", "part", "text").unionByName(put)

@@ -11,7 +11,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
@@ -75,8 +75,12 @@ def halving(call: Callable[[list[str]], list[str]], texts: list[str]) -> list[st
         return halving(call, texts[:half]) + halving(call, texts[half:])
 
 
-def run(df: DataFrame, make: Callable[[], Provider], text: str, target: str, out: str = "answer", size: int = BATCH) -> DataFrame:
-    """Adds ``out``: the provider's answer, formulas protected around the call."""
+def run(df: DataFrame, make: Callable[[], Provider], text: str, target: str, out: str = "answer", size: int = BATCH, at_once: int | None = None) -> DataFrame:
+    """Adds ``out``: the provider's answer, formulas protected around the call.
+
+    ``at_once`` bounds the calls that are made at the same time, by the number of partitions.
+    """
+    df = df if at_once is None else df.coalesce(at_once)
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = make()
@@ -169,3 +173,93 @@ def parse_in_halves(pages: DataFrame, make: Callable[[], Provider], text: str =
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("half", "md"))), lambda p: p["md"]), "\n\n")
     joined = done.groupBy("doc_id", "page").agg(ordered.alias("md"))
     return pages.where(~bad).select("doc_id", "page", "md").unionByName(joined)
+
+
+def retried_once(pages: DataFrame, make: Callable[[], Provider], text: str, target: str, answer: str, degenerate: Column) -> DataFrame:
+    """A degenerate answer is asked for once more; the new one counts if it isn't blank."""
+    bad = F.coalesce(degenerate, F.lit(False))
+    again = run(pages.where(bad), make, text, target, "_again")
+    kept = F.when(F.trim("_again") != "", F.col("_again")).otherwise(F.col(answer))
+    return pages.where(~bad).unionByName(again.withColumn(answer, kept).select(*pages.columns))
+
+
+class Parser(Provider):
+    """A provider that also tells why it stopped."""
+
+    @abstractmethod
+    def parse(self, page: str) -> tuple[str, str]:
+        """``(markdown, finish reason)``; the reason ``length`` means that the answer was cut off."""
+
+    def one(self, text: str, target: str) -> str:
+        return self.parse(text)[0]
+
+
+def parse_with_reason(pages: DataFrame, make: Callable[[], Parser], text: str) -> DataFrame:
+    """Adds ``md``, ``reason`` and ``truncated``; a call that fails gives nulls."""
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = make()
+        for pdf in frames:
+            out = []
+            for page in pdf[text]:
+                try:
+                    out.append(p.parse(page) if isinstance(page, str) else (None, None))
+                except Exception:  # noqa: BLE001 - a page that fails is left to the fallback
+                    out.append((None, None))
+            yield pdf.assign(md=pd.Series([m for m, _ in out], index=pdf.index, dtype=object), reason=pd.Series([r for _, r in out], index=pdf.index, dtype=object))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes) + ", md string, reason string"
+    return pages.mapInPandas(step, schema).withColumn("truncated", F.coalesce(F.col("reason") == "length", F.lit(False)))
+
+
+class LayoutSignal(ABC):
+    """A layout model: started once per worker, asked page by page, closed at the end."""
+
+    def start(self) -> None: ...
+
+    @abstractmethod
+    def regions(self, page: bytes) -> list[tuple[str, float, list[float]]]: ...
+
+    def close(self) -> None: ...
+
+
+def detect_regions(pages: DataFrame, make: Callable[[], LayoutSignal], content: str = "content") -> DataFrame:
+    """``(doc_id, page, label, conf, bbox)`` of ``doc_id, page, <content>``; a page that fails has none."""
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signal = make()
+        signal.start()
+        try:
+            for pdf in frames:
+                rows = []
+                for doc, page, image in zip(pdf["doc_id"], pdf["page"], pdf[content]):
+                    try:
+                        rows += [(doc, page, label, float(conf), [float(x) for x in box]) for label, conf, box in signal.regions(image)]
+                    except Exception:  # noqa: BLE001 - other pages go on
+                        continue
+                yield pd.DataFrame(rows, columns=["doc_id", "page", "label", "conf", "bbox"], dtype=object)
+        finally:
+            signal.close()
+
+    types = dict(pages.dtypes)
+    return pages.select("doc_id", "page", content).mapInPandas(step, f"doc_id {types['doc_id']}, page {types['page']}, label string, conf double, bbox array<double>")
+
+
+def formula_pass(blocks: DataFrame, memo: DataFrame, make: Callable[[], Provider]) -> DataFrame:
+    """``(doc_id, page, block_id, replaced, latex)`` of formula blocks with ``original``, ``bbox`` and ``bboxes``.
+
+    The segments of a block are recognised once per key and joined in order. A
+    block of under ten words gets the formula as its answer, a longer one as
+    its original, which is then asked for again. A block without a valid
+    segment has no row.
+    """
+    own = F.when(F.col("bbox").isNotNull(), F.array(F.struct(F.col("page").alias("page"), F.col("bbox").alias("bbox"))))
+    parts = F.when(F.size("bboxes") > 0, F.col("bboxes")).otherwise(own)
+    rows = blocks.select("doc_id", "page", "block_id", "original", F.posexplode(parts).alias("_i", "_s")).where(F.size("_s.bbox") == 4)
+    rounded = [F.round(F.get("_s.bbox", F.lit(i)), 1) for i in range(4)]
+    keyed = rows.withColumn("key", X.content_key(F.lit("v2"), F.col("doc_id"), F.col("_s.page"), *rounded))
+    found = recognise_formulas(keyed.select("key", F.col("key").alias("image")), memo, make).where("latex is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "latex"))), lambda x: x["latex"]), " ")
+    joined = keyed.join(found, "key").groupBy("doc_id", "page", "block_id", "original").agg(text.alias("latex"))
+    few = F.regexp_count("original", F.lit("[A-Za-z]{2,}")) < 10
+    return joined.select("doc_id", "page", "block_id", F.when(few, "translated").otherwise("original").alias("replaced"), "latex")

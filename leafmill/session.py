@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,5 +59,26 @@ def drop_cuts() -> None:
             return
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[str]:
+    """Jobs that are started inside carry ``tag``, so that ``cancel`` ends them at their next task."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield tag
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted with the cuts."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/leafmill-{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

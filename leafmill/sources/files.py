@@ -106,3 +106,26 @@ def clear_memo(spark: SparkSession, path: str) -> int:
     entries = read_memo(spark, path).count()
     spark.createDataFrame([], MEMO).write.mode("overwrite").json(path)
     return entries
+
+
+def write_sidecars(figures: DataFrame, path: str) -> None:
+    """Figure sidecars, one JSON object a line."""
+    figures.write.mode("overwrite").json(path)
+
+
+def absolute_images(pages: DataFrame, listing: DataFrame, text: str, folder: str) -> DataFrame:
+    """Image references whose file is in the listing (``name``) become paths in ``folder``; others stay.
+
+    A text is taken apart at its references, and put together in order again.
+    """
+    ref = r"!\[([^\]]*)\]\(([^)]+)\)"
+    keys = [c for c in pages.columns if c != text]
+    marked = F.regexp_replace(text, ref, "\u0000![$1]($2)\u0000")
+    parts = pages.select(*keys, F.posexplode_outer(F.split(marked, "\u0000", -1)).alias("_i", "_part"))
+    name = F.regexp_extract(F.replace(F.regexp_extract("_part", f"^{ref}$", 2), F.lit("\\"), F.lit("/")), "[^/]*$", 0)
+    there = listing.select(F.col("name").alias("_name"), F.lit(True).alias("_there")).distinct()
+    joined = parts.withColumn("_name", name).join(there, "_name", "left")
+    path = F.concat(F.lit("!["), F.regexp_extract("_part", f"^{ref}$", 1), F.lit(f"]({folder.rstrip('/')}/"), F.col("_name"), F.lit(")"))
+    made = F.when(F.col("_there") & (F.col("_name") != ""), path).otherwise(F.col("_part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", made.alias("p")))), lambda x: x["p"]), "")
+    return joined.groupBy(*keys).agg(F.when(F.max("_i").isNotNull(), whole).alias(text)).select(*pages.columns)

@@ -14,6 +14,7 @@ from leafmill.operators import match as J
 from leafmill.operators import metrics as M
 from leafmill.operators import sequence as W
 from leafmill.operators import spatial as S
+from leafmill.plans import rules_sql as R
 from leafmill.plans import tables
 from leafmill.plans.scalars import has, q
 from leafmill.plans.tables import ONE, REGION, regions
@@ -56,7 +57,7 @@ LINES = (
     f" (SELECT doc_id, page, block_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, page, block_id, string_split(original, chr(10)) AS l FROM {ONE} WHERE original IS NOT NULL))))"
 )
 BODY = f"(SELECT doc_id, size AS body FROM (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(trim(text, ' '))) DESC, min(pos)) AS k FROM {LINES} WHERE page = 0 AND length(trim(text, ' ')) > 0 GROUP BY doc_id, size) WHERE k = 1)"
-_HEADING = f"l.bold AND l.size >= b.body AND length(text) <= 110 AND NOT {has('text', X.CAPTION)} AND NOT {has('text', r'\.$')} AND {has('text', r'^[\p{Lu}\d一-鿿]')}"
+_HEADING = f"l.bold AND l.size >= b.body AND length(text) <= 110 AND NOT {has('text', R.CAPTION)} AND NOT {has('text', r'\.$')} AND {has('text', r'^[\p{Lu}\d一-鿿]')}"
 
 
 @query(f"SELECT doc_id, body FROM {BODY}")
@@ -100,7 +101,9 @@ def seq_w06_titles(spark: SparkSession, sf: str) -> DataFrame:
     return P.geometric_titles(lines(spark, sf))
 
 
-@query()
+@query(f"""
+SELECT m.doc_id, CASE WHEN {tables._TN.format('g.title')} <> '' AND {tables._TN.format('m.title')} <> '' AND (contains({tables._TN.format('g.title')}, {tables._TN.format('m.title')}) OR contains({tables._TN.format('m.title')}, {tables._TN.format('g.title')})) THEN m.title
+ ELSE coalesce(g.title, m.title) END AS title FROM {tables._NEWEST} m LEFT JOIN ({ORACLES['seq_w06_titles']}) g ON m.doc_id = g.doc_id""")
 def topk_o11_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric title, agreed with the index's."""
     meta = L.newest(table(spark, sf, "doc_index")).select("doc_id", F.col("title").alias("meta"))
@@ -156,7 +159,16 @@ def spatial_j12_clamped(spark: SparkSession, sf: str) -> DataFrame:
     return P.clamp_by_captions(r.where("label = 'figure'"), r.where("label = 'figure_caption'"))
 
 
-@query()
+_BEGINS = "(starts_with(p.n, left({0}.norm, 24)) OR starts_with({0}.norm, left(p.n, 24)))"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, block_id AS pos, original AS text, {tables._NORM.format('original')} AS n FROM {ONE} WHERE page = 0 AND original IS NOT NULL),
+h AS (SELECT v.doc_id, {tables._NORM.format('l.text')} AS norm, min(v.level) AS level FROM ({ORACLES['seq_w14_heading_levels']}) v JOIN {LINES} l ON v.doc_id = l.doc_id AND v.page = l.page AND v.pos = l.pos WHERE v.page = 0 GROUP BY 1, 2),
+s AS (SELECT doc_id, {tables._NORM.format('text')} AS norm FROM ({ORACLES['seq_w05_small_print']})),
+k AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = p.doc_id AND s.norm <> '' AND p.n <> '' AND {_BEGINS.format('s')})),
+m AS (SELECT p.doc_id, p.pos, min(h.level) AS level FROM k p JOIN h ON h.doc_id = p.doc_id AND h.norm <> '' AND p.n <> '' AND {_BEGINS.format('h')} AND length(p.n) <= length(h.norm) + 20 GROUP BY p.doc_id, p.pos)
+SELECT k.doc_id, k.pos, CASE WHEN m.level IS NOT NULL AND NOT starts_with(k.text, '#') THEN repeat('#', m.level) || ' ' || k.text ELSE k.text END AS text FROM k LEFT JOIN m ON k.doc_id = m.doc_id AND k.pos = m.pos""")
 def match_j06_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = lines(spark, sf)
     norm = X.alnum_norm(F.col("text"))
@@ -246,7 +258,7 @@ def agg_a20_widths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def agg_a24_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequence similarity of a patch with its block, and their ratio of lengths.
+    """Sequence similarity of a patch with its block, in compatibility form without white space, and their ratio of lengths.
 
     Frequent characters count like all others, in long texts too; the
     reference's default call leaves them out from 200 characters on.
@@ -254,7 +266,7 @@ def agg_a24_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([M.similarity(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([M.similarity(X.compatible(x), X.compatible(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
     key = ["doc_id", "page", "block_id"]
     p = table(spark, sf, "block_patch").where("original is not null").select("patch_id", *key, "original").dropDuplicates(["patch_id"])

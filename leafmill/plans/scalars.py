@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import metrics as M
+from leafmill.plans import rules_sql as R
 from leafmill.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +82,7 @@ def _demoted_sql(x: str) -> str:
     body = f"regexp_extract({x}, '^#{{1,6}}\\s+(.+?)\\s*$', 1)"
     plain = _BARE.format(body)
     words = f"len(list_filter(regexp_split_to_array({plain}, '\\s+'), lambda w: w <> ''))"
-    evidence = q(r"(^|[^A-Za-z0-9_])(" + "|".join(X.SENTENCE_EVIDENCE) + r")([^A-Za-z0-9_]|$)")
+    evidence = q(r"(^|[^A-Za-z0-9_])(" + R.SENTENCE_EVIDENCE + r")([^A-Za-z0-9_]|$)")
     ends = f"regexp_matches({plain}, {q('[?!！？.。][\"' + chr(39) + '”’)]*$')})"
     spared = f"right({plain}, 1) IN ('.', '。') AND (regexp_matches({plain}, '^\\d+(\\.\\d+)*[.:）)]?\\s') OR {words} < 6)"
     sentence = f"{words} >= 14 AND (regexp_matches({plain}, '^\\p{{Ll}}') OR regexp_matches({plain}, {evidence}))"
@@ -94,10 +95,15 @@ def lines_sql(expr: str, body: str) -> str:
 
 
 _doc("clean_n10_headings", lambda c: X.demote_sentence_headings(F.concat(F.lit("# "), c)), lines_sql("'# ' || text", _demoted_sql("x")))
-_doc("clean_n10_headings_first", lambda c: X.demote_sentence_headings(F.concat(F.lit("# "), c), protect_first=True))
+_LINES_10 = "string_split('# ' || text, chr(10))"
+_QUESTION = f"regexp_matches({_BARE.format('x')}, {q('[?!！？.。][\"' + chr(39) + '”’)]*\\s*$')})"
+_doc(
+    "clean_n10_headings_first", lambda c: X.demote_sentence_headings(F.concat(F.lit("# "), c), protect_first=True),
+    f"array_to_string(list_transform({_LINES_10}, lambda x, i: CASE WHEN i = list_position(list_transform({_LINES_10}, lambda y: regexp_matches(y, '^#{{1,6}}\\s+\\S')), true) AND NOT {_QUESTION} THEN x ELSE {_demoted_sql('x')} END), chr(10))",
+)
 _patch("clean_n11_emphasis", X.strip_stray_emphasis, lines_sql(T, "CASE WHEN ((length(x) - length(replace(x, '**', ''))) // 2) % 2 = 1 THEN replace(x, '**', '') ELSE x END"))
 scalar("protect_n13_n14", "block_patch", "patch_id", lambda: {"out": X.protected(F.col("original"))["text"], "kept": F.size(X.protected(F.col("original"))["formulas"])}, where="original is not null")
-_patch("clean_n15_bare_latex", X.wrap_bare_latex, f"CASE WHEN instr(original, '$') = 0 THEN regexp_replace(original, {q('(' + X.BARE_MACRO + ')')}, '$\\1$', 'g') ELSE original END")
+_patch("clean_n15_bare_latex", X.wrap_bare_latex, f"CASE WHEN instr(original, '$') = 0 THEN regexp_replace(original, {q('(' + R.BARE_MACRO + ')')}, '$\\1$', 'g') ELSE original END")
 _CLEAN = delete("coalesce(translated, '')", r"^[#\s`>*\-]+")
 scalar("clean_n16_answer", "block_patch", "patch_id", lambda: {"out": X.clean_answer(F.col("translated"))}, {"out": strip(f"replace(replace(replace({_CLEAN}, '**', ''), '`', ''), '__', '')")})
 _patch("clean_n17_inline_math", X.inline_math_text)
@@ -120,7 +126,7 @@ _NUMBER = "regexp_extract(coalesce(original, ''), '^\\s*(\\d+(?:\\.\\d+)*)', 1)"
 scalar("norm_n26_level", "block", "doc_id", lambda: {"block_id": F.col("block_id"), "page": F.col("page"), "out": X.title_level(F.col("original"), F.lit(False))}, {"block_id": "block_id", "page": "page", "out": f"CASE WHEN {_NUMBER} = '' THEN 2 ELSE least({count(_NUMBER, '[.]')} + 2, 4) END"})
 scalar("norm_n28_progress", "job", "job_id", lambda: {"extract": X.progress_of_extraction(F.col("progress"), F.lit(100)), "translate": X.progress_of_translation(F.col("progress"), F.lit(100))}, {"extract": "8 + floor(progress / 100 * 22)::bigint", "translate": "least(99, 30 + floor(progress / 100 * 70)::bigint)"})
 _MARGIN = r"^[.,;:!?()\[\]{}\"'`*|，。；：！？]+|[.,;:!?()\[\]{}\"'`*|，。；：！？]+$"
-_MATHS = rf"[_^{X.SCRIPT_CHARS}]|\\[a-zA-Z]"
+_MATHS = rf"[_^{R.SCRIPT_CHARS}]|\\[a-zA-Z]"
 _patch("pred_n30_math_tokens", lambda c: F.size(F.filter(F.split(c, " ", -1), X.is_math_token)), f"CASE WHEN original IS NULL THEN NULL ELSE len(list_filter(string_split(original, ' '), lambda x: regexp_matches({delete('x', _MARGIN)}, {q(_MATHS)}))) END")
 _NAME = delete(delete("coalesce(file_path, '')", r"^.*[/\\]"), r"(?i)\.pdf$")
 scalar("norm_n31_title_from_path", "doc_index", "doc_id", lambda: {"out": X.title_from_path(F.col("file_path"))}, {"out": f"coalesce(nullif({_NAME}, ''), 'bilingual')"})
@@ -141,20 +147,20 @@ def has(expr: str, pattern: str) -> str:
 
 
 NO_SPACE = delete("{}", r"\s+")
-PAGE_NO = has(NO_SPACE.format("x"), X.PAGE_NUMBER)
-FOOTER = f"(length(x) < 140 AND {has('x', X.PUBLISHER_FOOTER)})"
+PAGE_NO = has(NO_SPACE.format("x"), R.PAGE_NUMBER)
+FOOTER = f"(length(x) < 140 AND {has('x', R.PUBLISHER_FOOTER)})"
 _lines("pred_p01_page_numbers", X.is_page_number, PAGE_NO)
-_lines("pred_p02_running_authors", lambda x: X.is_running_author(F.concat(F.regexp_extract(x, "^(\\w+)", 1), F.lit(" et al."))), has("regexp_extract(x, '^(\\w+)', 1) || ' et al.'", X.RUNNING_AUTHOR))
+_lines("pred_p02_running_authors", lambda x: X.is_running_author(F.concat(F.regexp_extract(x, "^(\\w+)", 1), F.lit(" et al."))), has("regexp_extract(x, '^(\\w+)', 1) || ' et al.'", R.RUNNING_AUTHOR))
 _lines("pred_p03_footers", X.is_publisher_footer, FOOTER)
-_lines("pred_p04_plain", X.is_plain, f"(x <> '' AND NOT {has('x', X.IMAGE_ONLY)} AND NOT {has('x', X.STRUCTURAL)})")
-_lines("pred_p05_images", lambda x: X.is_image(F.concat(F.lit("![Figure]("), x, F.lit(")"))), has("'![Figure](' || x || ')'", X.IMAGE_ONLY))
-_lines("pred_p27_captions", lambda x: x.rlike(X.CAPTION) & ~x.rlike(X.CAPTION_ANCHOR), f"({has('x', X.CAPTION)} AND NOT {has('x', X.CAPTION_ANCHOR)})")
+_lines("pred_p04_plain", X.is_plain, f"(x <> '' AND NOT {has('x', R.IMAGE_ONLY)} AND NOT {has('x', R.STRUCTURAL)})")
+_lines("pred_p05_images", lambda x: X.is_image(F.concat(F.lit("![Figure]("), x, F.lit(")"))), has("'![Figure](' || x || ')'", R.IMAGE_ONLY))
+_lines("pred_p27_captions", lambda x: x.rlike(X.CAPTION) & ~x.rlike(X.CAPTION_ANCHOR), f"({has('x', R.CAPTION)} AND NOT {has('x', R.CAPTION_ANCHOR)})")
 
-_NOISE = f"({count(T, f'[_{X.SCRIPT_CHARS}]')} + {count(T, r'\\[a-zA-Z]+')})"
+_NOISE = f"({count(T, f'[_{R.SCRIPT_CHARS}]')} + {count(T, r'\\[a-zA-Z]+')})"
 FORMULA = f"coalesce(length(original) >= 12 AND {count(T, '[A-Za-z]{2,}')} < 10 AND {_NOISE} >= 8, false)"
 HEAVY = (
-    f"coalesce(length(original) >= 12 AND ({count(T, '[\\x{1D400}-\\x{1D7FF}]')} >= 3 OR ({count(T, f'[{X.LOST_GLYPHS}]')} >= 1 AND"
-    f" {count(T, f'[_^{X.SCRIPT_CHARS}]')} >= 2) OR ({count(T, '_[A-Za-z0-9][_^]')} >= 2 AND {count(T, '_')} >= 4)), false)"
+    f"coalesce(length(original) >= 12 AND ({count(T, '[\\x{1D400}-\\x{1D7FF}]')} >= 3 OR ({count(T, f'[{R.LOST_GLYPHS}]')} >= 1 AND"
+    f" {count(T, f'[_^{R.SCRIPT_CHARS}]')} >= 2) OR ({count(T, '_[A-Za-z0-9][_^]')} >= 2 AND {count(T, '_')} >= 4)), false)"
 )
 _patch("pred_p06_formula", X.is_formula, FORMULA)
 _patch("pred_p07_heavy_math", X.is_heavy_math, HEAVY)
@@ -183,15 +189,15 @@ _pair("pred_p14_usable_memo", lambda o, t, lang: ~X.needs_retry(o, t, lang), f"N
 _GB = strip("replace(original, '*', '')")
 _GC = strip(f"replace({_GB}, '_', '')")
 _GN = f"lower({delete(strip(delete(_GC, '[:：]+$')), r'^\d+(\.\d+)*\s+')})"
-_patch("pred_p10_generic_heading", X.is_generic_heading, f"({has(_GB, r'^\d+(\.\d+)+\s')} OR {_GN} IN ({', '.join(q(h) for h in X.GENERIC_HEADINGS)}))")
+_patch("pred_p10_generic_heading", X.is_generic_heading, f"({has(_GB, r'^\d+(\.\d+)+\s')} OR {_GN} IN ({', '.join(q(h) for h in R.GENERIC_HEADINGS)}))")
 _pair(
     "pred_p11_label", lambda o, _, lang: X.needs_translation(o, lang),
-    f"CASE WHEN length({O_}) <= 3 THEN false WHEN {has(O_, '^[A-Z][a-z]+(-[a-z]+)+$')} THEN true WHEN {has(O_, X.IDENTIFIER)} THEN false"
+    f"CASE WHEN length({O_}) <= 3 THEN false WHEN {has(O_, '^[A-Z][a-z]+(-[a-z]+)+$')} THEN true WHEN {has(O_, R.IDENTIFIER)} THEN false"
     f" WHEN lower(target_lang) LIKE 'zh%' AND NOT {has(O_, '[A-Za-z]')} THEN false ELSE true END",
 )
 _patch("pred_p12_latex", X.is_latex, f"coalesce(original <> '' AND length(original) <= 8000 AND {has(T, r'[$\\=]')}, false)")
 ACTION = (
-    f"CASE WHEN {O_} = '' THEN 'blank' WHEN {has(O_, X.IMAGE_ONLY)} THEN 'image' WHEN starts_with({O_}, '```') THEN 'code'"
+    f"CASE WHEN {O_} = '' THEN 'blank' WHEN {has(O_, R.IMAGE_ONLY)} THEN 'image' WHEN starts_with({O_}, '```') THEN 'code'"
     f" WHEN {FORMULA} THEN 'formula' WHEN NOT {RETRY} THEN 'reuse' WHEN {HEAVY} THEN 'mixed' ELSE 'translate' END"
 )
 _pair("pred_p31_action", X.translate_action, ACTION)

@@ -16,6 +16,7 @@ from leafmill.operators import metrics as M
 from leafmill.operators import sequence as W
 from leafmill.operators import spatial as S
 from leafmill.plans import providers
+from leafmill.plans import rules_sql as R
 from leafmill.plans.scalars import ACTION, FOOTER, PAGE_NO, delete, has, key_sql, paragraphs_sql, q, strip
 from leafmill.session import table
 
@@ -74,10 +75,10 @@ def region_texts_sql(label: str) -> str:
 
 _TRIMMED = f"list_transform({paragraphs_sql(strip('text'))}, lambda p: {delete('p', r'^\s+|\s+$')})"
 _SPLIT = (
-    f"flatten(list_transform({_TRIMMED}, lambda p: CASE WHEN {has('p', B.RUN_IN)} THEN [regexp_extract(p, {q(B.RUN_IN)}, 1),"
-    f" {delete(f'regexp_extract(p, {q(B.RUN_IN)}, 2)', r'\s+$')}] ELSE [p] END))"
+    f"flatten(list_transform({_TRIMMED}, lambda p: CASE WHEN {has('p', R.RUN_IN)} THEN [regexp_extract(p, {q(R.RUN_IN)}, 1),"
+    f" {delete(f'regexp_extract(p, {q(R.RUN_IN)}, 2)', r'\s+$')}] ELSE [p] END))"
 )
-_AUTHOR = f"(length(x) < 60 AND {has('x', X.RUNNING_AUTHOR)})"
+_AUTHOR = f"(length(x) < 60 AND {has('x', R.RUNNING_AUTHOR)})"
 _BLOCKS = f"list_filter({_SPLIT}, lambda x: x <> '' AND NOT {PAGE_NO} AND NOT {_AUTHOR} AND NOT {FOOTER})"
 BLOCKS = f"(SELECT doc_id, lang, unnest(range(len(b)))::int AS pos, unnest(b) AS block FROM (SELECT doc_id, lang, {_BLOCKS} AS b FROM documents))"
 
@@ -314,7 +315,11 @@ def seq_w04_islands(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "page", "bbox", F.col("island").cast("int").alias("island"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS (SELECT doc_id, page, bbox, bbox[2] AS y, row_number() OVER (PARTITION BY doc_id, page ORDER BY bbox[2]) AS k FROM {REGION}),
+r AS (SELECT doc_id, page, k, y AS first, 1 AS cluster FROM o WHERE k = 1 UNION ALL
+ SELECT o.doc_id, o.page, o.k, CASE WHEN abs(o.y - r.first) > 40 THEN o.y ELSE r.first END, r.cluster + (abs(o.y - r.first) > 40)::int FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.k = r.k + 1)
+SELECT o.doc_id, o.page, o.bbox, o.y, r.cluster FROM o JOIN r ON o.doc_id = r.doc_id AND o.page = r.page AND o.k = r.k""")
 def seq_w07_clusters(spark: SparkSession, sf: str) -> DataFrame:
     rows = regions(spark, sf).withColumn("y", G.edge(F.col("bbox"), 1)).select("doc_id", "page", "bbox", "y")
     return W.line_clusters(rows, ["doc_id", "page"], "y", 40.0)
@@ -325,7 +330,18 @@ def seq_w02_continuations(spark: SparkSession, sf: str) -> DataFrame:
     return W.merge_continuations(one_per_block(spark, sf))
 
 
-@query()
+_AFTER, _UPTO = "ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING", "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, page, block_id AS pos, coalesce({has('original', R.IMAGE_ONLY)}, false) AS image, bbox[1] AS x0, bbox[3] AS x1, bbox[2] AS y0, 595.0::double AS width FROM {ONE}),
+a AS (SELECT *, x1 - x0 <= 0.55 * width AS narrow, x0 >= width / 2 AND x1 - x0 <= 0.55 * width AS rgt FROM k),
+b AS (SELECT *, CASE WHEN x0 IS NOT NULL THEN [rgt::int::double, y0, pos::double] END AS key, count(*) OVER p AS n, count(*) FILTER (x0 IS NULL AND NOT image) OVER p AS miss, count(*) FILTER (narrow AND NOT rgt) OVER p AS l,
+ count(*) FILTER (rgt) OVER p AS r, max(x1) FILTER (narrow AND NOT rgt) OVER p AS lx, min(x0) FILTER (rgt) OVER p AS rx FROM a WINDOW p AS (PARTITION BY doc_id, page)),
+c AS (SELECT *, coalesce(key, CASE WHEN image THEN first_value(key IGNORE NULLS) OVER (PARTITION BY doc_id, page {_AFTER}) END) AS k1 FROM b),
+d AS (SELECT *, coalesce(k1, last_value(k1 IGNORE NULLS) OVER (PARTITION BY doc_id, page {_UPTO})) AS k2 FROM c),
+e AS (SELECT *, coalesce(k2, first_value(k2 IGNORE NULLS) OVER (PARTITION BY doc_id, page {_AFTER})) AS k3 FROM d)
+SELECT doc_id, page, pos, image, x0, x1, y0, width, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN n >= 5 AND miss <= greatest(1.0, n / 3) AND l >= 3 AND r >= 3 AND lx <= rx + 5 THEN k3 END NULLS FIRST, pos) - 1)::int AS "order" FROM e""")
 def seq_w01_reading_order(spark: SparkSession, sf: str) -> DataFrame:
     b = one_per_block(spark, sf)
     keyed = b.select(
@@ -425,7 +441,19 @@ def spatial_j03_captions(spark: SparkSession, sf: str) -> DataFrame:
     return S.nearest_captions(r.where("label in ('figure', 'table')"), r.where("label = 'figure_caption'"))
 
 
-@query()
+_IOU = (
+    "(greatest(least(z[3], o.bbox[3]) - greatest(z[1], o.bbox[1]), 0) * greatest(least(z[4], o.bbox[4]) - greatest(z[2], o.bbox[2]), 0)) / ((z[3] - z[1]) * (z[4] - z[2]) + (o.bbox[3] - o.bbox[1]) * (o.bbox[4] - o.bbox[2])"
+    " - (greatest(least(z[3], o.bbox[3]) - greatest(z[1], o.bbox[1]), 0) * greatest(least(z[4], o.bbox[4]) - greatest(z[2], o.bbox[2]), 0)))"
+)
+
+
+@query(f"""
+WITH RECURSIVE o AS (SELECT doc_id, page, label, conf, bbox, row_number() OVER (PARTITION BY doc_id, page, label ORDER BY conf DESC, bbox) AS k FROM layout_region
+ WHERE len(bbox) = 4 AND bbox[3] > bbox[1] AND bbox[4] > bbox[2] AND conf >= 0.5),
+r AS (SELECT doc_id, page, label, k, conf, bbox, true AS kept, [bbox] AS boxes FROM o WHERE k = 1 UNION ALL
+ SELECT o.doc_id, o.page, o.label, o.k, o.conf, o.bbox, len(list_filter(r.boxes, lambda z: {_IOU} > 0.6)) = 0, CASE WHEN len(list_filter(r.boxes, lambda z: {_IOU} > 0.6)) = 0 THEN list_append(r.boxes, o.bbox) ELSE r.boxes END
+ FROM r JOIN o ON o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.page IS NOT DISTINCT FROM r.page AND o.label IS NOT DISTINCT FROM r.label AND o.k = r.k + 1)
+SELECT doc_id, page, label, conf, bbox FROM r WHERE kept""")
 def spatial_u01_suppress(spark: SparkSession, sf: str) -> DataFrame:
     return S.suppress(table(spark, sf, "layout_region"))
 

@@ -179,11 +179,11 @@ def attach_segments(paragraphs: DataFrame, raw: DataFrame, reach: int = 2, most:
     chains = pages.select("doc_id", "page", F.sum("fresh").over(before).alias("chain"))
     each = later.groupBy(*key).agg(F.first("n").alias("n"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("raw_page", "ordinal", "t"))).alias("later"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(doc: str, chain: list) -> list[tuple]:
         used, out = set(), []
-        for doc, page, block, n, at, candidates in pdf.sort_values(["page", "block_id"])[[*key, "n", "start", "later"]].itertuples(index=False, name=None):
-            taken = []
-            for c in candidates:
+        for row in chain:
+            n, at, taken = row["n"], row["start"], []
+            for c in row["later"]:
                 if at >= len(n) or len(taken) + 1 >= most:
                     break
                 place = (c["raw_page"], c["ordinal"])
@@ -192,13 +192,19 @@ def attach_segments(paragraphs: DataFrame, raw: DataFrame, reach: int = 2, most:
                 used.add(place)
                 taken.append(place)
                 at = found + len(c["t"])
-            out.append((doc, page, block, taken))
-        return pd.DataFrame(out, columns=[*key, "taken"], dtype=object)
+            out.append((doc, row["page"], row["block_id"], taken))
+        return out
+
+    def fold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [x for doc, chain in zip(pdf["doc_id"], pdf["rows"]) for x in fold(doc, chain)]
+            yield pd.DataFrame(out, columns=[*key, "taken"], dtype=object)
 
     types = dict(paragraphs.dtypes)
     place = f"struct<raw_page: {types['page']}, ordinal: {dict(raw.dtypes)['ordinal']}>"
     schema = ", ".join(f"{k} {types[k]}" for k in key) + f", taken array<{place}>"
-    taken = each.join(chains, ["doc_id", "page"]).groupBy("doc_id", "chain").applyInPandas(fold, schema)
+    rows = F.array_sort(F.collect_list(F.struct("page", "block_id", "n", "start", "later"))).alias("rows")
+    taken = each.join(chains, ["doc_id", "page"]).groupBy("doc_id", "chain").agg(rows).select("doc_id", "rows").mapInPandas(fold_all, schema)
     anchor = F.array(F.struct(F.col("page").alias("raw_page"), "ordinal"))
     return anchored.join(taken, key, "left").select(*key, F.concat(anchor, F.coalesce("taken", F.array().cast(f"array<{place}>"))).alias("segments"))
 

@@ -258,7 +258,7 @@ def agg_a20_widths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def agg_a24_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Sequence similarity of a patch with its block, in compatibility form without white space, and their ratio of lengths.
+    """Sequence similarity of a patch with its block and their ratio of lengths, in compatibility form without white space and image references.
 
     Frequent characters count like all others, in long texts too; the
     reference's default call leaves them out from 200 characters on.
@@ -266,12 +266,14 @@ def agg_a24_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([M.similarity(X.compatible(x), X.compatible(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([M.similarity(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
     key = ["doc_id", "page", "block_id"]
-    p = table(spark, sf, "block_patch").where("original is not null").select("patch_id", *key, "original").dropDuplicates(["patch_id"])
-    b = tables.one_per_block(spark, sf).where("original is not null").select(*key, F.col("original").alias("other"))
-    return p.join(b, key).select("patch_id", F.round(ratio("original", "other"), 5).alias("similarity"), F.round(F.length("original") / F.greatest(F.length("other"), F.lit(1)), 5).alias("length_ratio"))
+    form = X.compatible_norm(F.regexp_replace("original", r"!\[[^\]]*\]\([^)]*\)", ""))
+    p = table(spark, sf, "block_patch").where("original is not null").select("patch_id", *key, "original").dropDuplicates(["patch_id"]).withColumn("_a", form)
+    b = tables.one_per_block(spark, sf).where("original is not null").select(*key, form.alias("_b"))
+    length = F.round(F.length("_a") / F.greatest(F.length("_b"), F.lit(1)), 5)
+    return p.join(b, key).select("patch_id", F.round(ratio("_a", "_b"), 5).alias("similarity"), length.alias("length_ratio"))
 
 
 _RESIDUE = {

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.arrow import map_rows
 from leafmill.session import cut
 
 HEAD = 24
@@ -179,9 +180,9 @@ def attach_segments(paragraphs: DataFrame, raw: DataFrame, reach: int = 2, most:
     chains = pages.select("doc_id", "page", F.sum("fresh").over(before).alias("chain"))
     each = later.groupBy(*key).agg(F.first("n").alias("n"), F.first("start").alias("start"), F.array_sort(F.collect_list(F.struct("raw_page", "ordinal", "t"))).alias("later"))
 
-    def fold(doc: str, chain: list) -> list[tuple]:
+    def fold(chain: dict) -> list[dict]:
         used, out = set(), []
-        for row in chain:
+        for row in chain["rows"]:
             n, at, taken = row["n"], row["start"], []
             for c in row["later"]:
                 if at >= len(n) or len(taken) + 1 >= most:
@@ -190,21 +191,16 @@ def attach_segments(paragraphs: DataFrame, raw: DataFrame, reach: int = 2, most:
                 if place in used or (found := n.find(c["t"], at)) < 0:
                     continue
                 used.add(place)
-                taken.append(place)
+                taken.append({"raw_page": place[0], "ordinal": place[1]})
                 at = found + len(c["t"])
-            out.append((doc, row["page"], row["block_id"], taken))
+            out.append({"doc_id": chain["doc_id"], "page": row["page"], "block_id": row["block_id"], "taken": taken})
         return out
 
-    def fold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [x for doc, chain in zip(pdf["doc_id"], pdf["rows"]) for x in fold(doc, chain)]
-            yield pd.DataFrame(out, columns=[*key, "taken"], dtype=object)
-
     types = dict(paragraphs.dtypes)
     place = f"struct<raw_page: {types['page']}, ordinal: {dict(raw.dtypes)['ordinal']}>"
     schema = ", ".join(f"{k} {types[k]}" for k in key) + f", taken array<{place}>"
     rows = F.array_sort(F.collect_list(F.struct("page", "block_id", "n", "start", "later"))).alias("rows")
-    taken = each.join(chains, ["doc_id", "page"]).groupBy("doc_id", "chain").agg(rows).select("doc_id", "rows").mapInPandas(fold_all, schema)
+    taken = map_rows(each.join(chains, ["doc_id", "page"]).groupBy("doc_id", "chain").agg(rows).select("doc_id", "rows"), fold, schema)
     anchor = F.array(F.struct(F.col("page").alias("raw_page"), "ordinal"))
     return anchored.join(taken, key, "left").select(*key, F.concat(anchor, F.coalesce("taken", F.array().cast(f"array<{place}>"))).alias("segments"))
 

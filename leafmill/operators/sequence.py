@@ -8,13 +8,12 @@ large share of all blocks is spread over many tasks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.arrow import map_rows
 
 DOC, PAGE, BLOCK = "doc_id", "page", "block_id"
 
@@ -191,16 +190,13 @@ def merge_continuations(blocks: DataFrame) -> DataFrame:
     runs = running_sum(queued, F.when(begins, 1).otherwise(0), "_run")
     grouped = runs.groupBy(DOC, "_run").agg(F.array_sort(F.collect_list(F.struct(PAGE, BLOCK, "original"))).alias("run")).select(DOC, "run")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, run in zip(pdf[DOC], pdf["run"]):
-                out += [(doc, run[i][PAGE], run[i][BLOCK], t) for i, t in merge_run([x["original"] for x in run])]
-            yield pd.DataFrame(out, columns=[DOC, PAGE, BLOCK, "original"], dtype=object)
+    def fold(row: dict) -> list[dict]:
+        run = row["run"]
+        return [{DOC: row[DOC], PAGE: run[i][PAGE], BLOCK: run[i][BLOCK], "original": t} for i, t in merge_run([x["original"] for x in run])]
 
     types = dict(blocks.dtypes)
     schema = f"{DOC} {types[DOC]}, {PAGE} {types[PAGE]}, {BLOCK} {types[BLOCK]}, original string"
-    return grouped.mapInPandas(fold, schema)
+    return map_rows(grouped, fold, schema)
 
 
 def reading_order(keyed: DataFrame) -> DataFrame:

@@ -182,7 +182,8 @@ def merge_continuations(blocks: DataFrame) -> DataFrame:
     rows = blocks.select(DOC, PAGE, BLOCK, F.coalesce("original", F.lit("")).alias("original"))
     text = X.strip(F.col("original"))
     plain, listed = X.is_plain(text), text.rlike(r"^[-*+]\s")
-    tail = (plain | listed) & text.rlike(r"(?i)\b(?:" + "|".join(TAIL_WORDS) + r")\s*$")
+    # the longest such word has seven letters
+    tail = (plain | listed) & F.right(text, F.lit(16)).rlike(r"(?i)\b(?:" + "|".join(TAIL_WORDS) + r")$")
     capital, new = plain & text.rlike("^[A-Z]"), plain & ~text.rlike("^[A-Za-z]")
     marked = rows.withColumns({"_tail": tail, "_capital": capital, "_first": text.rlike(r"^#{1,2}\s") | new})
     queued = open_ends(marked, F.col("_tail"), F.col("_capital") | F.col("_first"), "_open")

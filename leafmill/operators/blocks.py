@@ -64,3 +64,8 @@ def overlay_segments(blocks: DataFrame) -> DataFrame:
 def flat(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
     """Pages with arrays of blocks as rows of blocks with their position."""
     return pages.select("doc_id", "page", F.posexplode(blocks).alias("pos", "b")).select("doc_id", "page", "pos", "b.*")
+
+
+def single_blocks(pages: DataFrame, text: str) -> DataFrame:
+    """A page's whole text as its one block, numbered 0."""
+    return pages.select("doc_id", "page", F.lit(0).alias("block_id"), F.col(text).alias("original"), F.lit(None).cast("string").alias("translated"))

@@ -263,3 +263,17 @@ def formula_pass(blocks: DataFrame, memo: DataFrame, make: Callable[[], Provider
     joined = keyed.join(found, "key").groupBy("doc_id", "page", "block_id", "original").agg(text.alias("latex"))
     few = F.regexp_count("original", F.lit("[A-Za-z]{2,}")) < 10
     return joined.select("doc_id", "page", "block_id", F.when(few, "translated").otherwise("original").alias("replaced"), "latex")
+
+
+def regions_of(pages: DataFrame, cache: DataFrame, make: Callable[[], LayoutSignal], content: str = "content") -> DataFrame:
+    """Regions of the asked pages: the cache's where it has the page, else the layout model's."""
+    columns = ["doc_id", "page", "label", "conf", "bbox"]
+    known = cache.select(*columns)
+    asked = pages.select("doc_id", "page").distinct()
+    missing = pages.dropDuplicates(["doc_id", "page"]).join(known.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return known.join(asked, ["doc_id", "page"], "left_semi").select(*columns).unionByName(detect_regions(missing, make, content))
+
+
+def noted(md: Column, truncated: Column, note: str = "…") -> Column:
+    """A page's text with a note at its end where it was cut off."""
+    return F.when(truncated, F.concat(md, F.lit("\n\n" + note))).otherwise(md)

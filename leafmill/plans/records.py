@@ -14,10 +14,11 @@ from leafmill.operators import match as J
 from leafmill.operators import spatial as S
 from leafmill.plans import pages, providers, tables
 from leafmill.plans.pages import LINES
-from leafmill.plans.scalars import RETRY, key_sql
+from leafmill.plans.scalars import RETRY, _NAME, key_sql
 from leafmill.plans.tables import _NEWEST, ONE, REGION, one_per_block, region_texts, region_texts_sql, regions
 from leafmill.session import shared_path, table
 from leafmill.sources import files
+from leafmill.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -390,3 +391,104 @@ def match_j05_captions(spark: SparkSession, sf: str) -> DataFrame:
     heads = heads.select("doc_id", "page", F.col("n").alias("head_id"), F.col("n").alias("text"))
     b = one_per_block(spark, sf).select("doc_id", "page", "block_id", F.col("original").alias("text"))
     return J.first_alike(heads, b).select("doc_id", "page", F.col("head_id").alias("n"), "match")
+
+
+_SEGMENTS10 = pages.ORACLES["seq_w08_segments"].replace("gap > 7", "gap > 10")
+_L10 = f"(SELECT s.doc_id, s.page, s.pos, s.segments, l.y0, l.y0 + 10 AS y1 FROM (SELECT doc_id, page, pos, max(segment) AS segments FROM ({_SEGMENTS10}) GROUP BY doc_id, page, pos) s JOIN {LINES} l ON s.doc_id = l.doc_id AND s.page = l.page AND s.pos = l.pos)"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT * FROM {_L10}), t AS (SELECT DISTINCT doc_id, page, bbox FROM {REGION} WHERE label = 'table'),
+r AS (SELECT doc_id, page, bbox, bbox[2] AS top, 0 AS n FROM t UNION ALL
+ SELECT doc_id, page, bbox, y0, n + 1 FROM (SELECT r.*, l.y0, l.y1, l.segments, row_number() OVER (PARTITION BY r.doc_id, r.page, r.bbox ORDER BY l.y1 DESC, l.y0 DESC) AS k FROM r JOIN l ON l.doc_id = r.doc_id AND l.page = r.page AND l.y1 <= r.top WHERE r.n < 4)
+ WHERE k = 1 AND top - y1 <= 25 AND segments >= 2)
+SELECT doc_id, page, bbox, arg_max(top, n)::double AS top FROM r GROUP BY doc_id, page, bbox""")
+def seq_w10_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables that take in the header lines above them."""
+    rows = pages.lines(spark, sf)
+    parts = P.segments(pages.words(rows), ["doc_id", "page", "pos"], 10.0).groupBy("doc_id", "page", "pos").agg(F.max("segment").alias("segments"))
+    placed = parts.join(rows.select("doc_id", "page", "pos", "y0", (F.col("y0") + 10).alias("y1")), ["doc_id", "page", "pos"])
+    return P.absorbed_headers(regions(spark, sf).where("label = 'table'").select("doc_id", "page", "bbox").distinct(), placed)
+
+
+@query("""
+WITH e AS (SELECT *, row_number() OVER (ORDER BY finished_at DESC, job_id DESC) AS k FROM job WHERE finished_at IS NOT NULL)
+SELECT job_id, finished_at FROM e WHERE k > greatest(7 - (SELECT count(*) FROM job WHERE finished_at IS NULL), 0)""")
+def topk_o07_least_recent(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that give way while there are eight or more: the least recent that don't run."""
+    return L.evicted(table(spark, sf, "job"), 0.0, keep=7, ttl=0.0).select("job_id", "finished_at")
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, page, string_agg(original, chr(10) || chr(10) ORDER BY block_id) AS md FROM {ONE} WHERE original IS NOT NULL GROUP BY doc_id, page),
+f AS (SELECT doc_id, page, count(*) AS n FROM {REGION} WHERE label IN ('figure', 'table') GROUP BY doc_id, page)
+SELECT p.doc_id, p.page, CASE WHEN length(md) >= 120 OR coalesce(n, 0) > 0 THEN md END AS markdown FROM p LEFT JOIN f ON p.doc_id = f.doc_id AND p.page = f.page""")
+def source_s01_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of the text layer; short ones without a figure count as none."""
+    parts = F.array_sort(F.collect_list(F.struct("block_id", "original")))
+    text = F.array_join(F.transform(parts, lambda x: x["original"]), "\n\n")
+    md = one_per_block(spark, sf).where("original is not null").groupBy("doc_id", "page").agg(text.alias("markdown"))
+    shots = regions(spark, sf).where("label in ('figure', 'table')").groupBy("doc_id", "page").agg(F.count("*").alias("snapshots"))
+    return files.valid_pages(md.join(shots, ["doc_id", "page"], "left")).select("doc_id", "page", "markdown")
+
+
+@query(f"SELECT doc_id, page, 0 AS block_id, string_agg(original, chr(10) || chr(10) ORDER BY block_id) AS original, NULL::varchar AS translated FROM {ONE} WHERE original IS NOT NULL GROUP BY doc_id, page")
+def blocks_c01_single(spark: SparkSession, sf: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("block_id", "original")))
+    text = F.array_join(F.transform(parts, lambda x: x["original"]), "\n\n")
+    return B.single_blocks(one_per_block(spark, sf).where("original is not null").groupBy("doc_id", "page").agg(text.alias("md")), "md")
+
+
+@query(f"SELECT doc_id, coalesce(nullif({_NAME}, ''), 'bilingual') || '-双语-' || strftime(strptime(translated_at, '%Y-%m-%d %H:%M:%S'), '%Y%m%d') || '.md' AS name FROM {_NEWEST} WHERE translated_at IS NOT NULL")
+def sink_k06_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The default names of exported documents."""
+    docs = L.newest(table(spark, sf, "doc_index")).where("translated_at is not null")
+    return docs.select("doc_id", L.export_name(F.col("file_path"), F.to_timestamp("translated_at")).alias("name"))
+
+
+@query(f"SELECT j.job_id, d.doc_id FROM job j JOIN (SELECT {tables._PATH.format('file_path')} AS p, min(doc_id) AS doc_id FROM {_NEWEST} WHERE file_path IS NOT NULL GROUP BY 1) d ON {tables._PATH.format('j.file_path')} = d.p WHERE j.status = 'done'")
+def match_j27_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that finished jobs belong to, by path in one notation."""
+    path = L.normal_path(F.col("file_path")).alias("_p")
+    docs = L.newest(table(spark, sf, "doc_index")).where("file_path is not null").groupBy(path).agg(F.min("doc_id").alias("doc_id"))
+    return table(spark, sf, "job").where("status = 'done'").select("job_id", path).join(docs, "_p").select("job_id", "doc_id")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'error' ELSE 'progress' END AS type, value FROM events),
+f AS (SELECT user_id, min(event_id) AS stop FROM e WHERE type <> 'progress' GROUP BY user_id),
+r AS (SELECT e.*, f.stop FROM e LEFT JOIN f ON e.user_id = f.user_id WHERE f.stop IS NULL OR e.event_id <= f.stop)
+SELECT user_id::varchar AS job_id, CASE max(type) FILTER (type <> 'progress') WHEN 'finish' THEN 100 ELSE greatest(coalesce(max(least(99, floor(value)::int)) FILTER (type = 'progress'), 0), 0) END AS progress,
+ CASE max(type) FILTER (type <> 'progress') WHEN 'finish' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, max(value * 10) AS peak_mb, max(value * 10) >= 2048 AS warned FROM r GROUP BY user_id""")
+def state_x01_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs after all their events: running, done or failed, how far, and the most memory (events stand in for messages)."""
+    kind = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "error").otherwise("progress")
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.col("value").alias("overall"), (F.col("value") * 10).alias("rss_mb"))
+    return jobs.folded(events)
+
+
+class _Whole(providers.LayoutSignal):
+    def regions(self, page: bytes) -> list[tuple[str, float, list[float]]]:
+        return [("text", 0.5, [0.0, 0.0, 595.0, float(len(page))])]
+
+
+@query("""
+WITH a AS (SELECT doc_id, page, sum(octet_length(encode(coalesce(original, '')))) AS n FROM block GROUP BY doc_id, page), c AS (SELECT doc_id, page, label, conf, bbox FROM layout_region)
+SELECT c.* FROM c SEMI JOIN a ON c.doc_id = a.doc_id AND c.page = a.page
+UNION ALL SELECT doc_id, page, 'text', 0.5, [0.0, 0.0, 595.0, n::double] FROM a ANTI JOIN c ON c.doc_id = a.doc_id AND c.page = a.page""")
+def source_s10_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions of all pages: those that are known, else a layout model's (a stub: the page as one text)."""
+    asked = table(spark, sf, "block").groupBy("doc_id", "page").agg(F.sum(F.octet_length(F.coalesce("original", F.lit("")))).alias("n"))
+    shots = asked.select("doc_id", "page", F.repeat(F.lit("x"), F.col("n").cast("int")).cast("binary").alias("content"))
+    return providers.regions_of(shots, table(spark, sf, "layout_region"), _Whole)
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN '[md] ' || left(text, ceil(length(text) / 2)::int) || chr(10) || chr(10) || '[md] ' || substring(text, ceil(length(text) / 2)::int + 1) ELSE text END AS md
+FROM documents WHERE text IS NOT NULL AND length(text) > 3 AND regexp_matches(left(text, ceil(length(text) / 2)::int), '\\S') AND regexp_matches(substring(text, ceil(length(text) / 2)::int + 1), '\\S')""")
+def flow_x10_halves(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose parse was cut off (here every third by its length) are parsed again in halves."""
+    half = F.ceil(F.length("text") / 2).cast("int")
+    rows = table(spark, sf, "documents").where("text is not null and length(text) > 3").where(F.left("text", half).rlike(r"\S") & F.substring(F.col("text"), half + 1, F.length("text")).rlike(r"\S"))
+    pages_ = rows.select("doc_id", F.lit(0).alias("page"), F.col("text").alias("page_text"), F.col("text").alias("md"), (F.length("text") % 3 == 0).alias("truncated"))
+    return providers.parse_in_halves(pages_, providers.Stub).select("doc_id", "md")

@@ -81,3 +81,19 @@ def mounted(spark: SparkSession, target: str, columns: list[str]) -> DataFrame:
     """The first version of each page."""
     first = F.min_by(F.struct(*columns), "epoch").alias("r")
     return spark.read.parquet(target).groupBy("doc_id", "page").agg(first).select("doc_id", "page", *[f"r.{c}" for c in columns if c not in ("doc_id", "page")])
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """The batch form of ``fold_progress``: ``job_id, progress, status, peak_mb, warned`` after all events.
+
+    What follows a job's first end, by ``seq``, changes nothing.
+    """
+    ended = F.col("type").isin("finish", "error")
+    first = events.groupBy("job_id").agg(F.min(F.when(ended, F.col("seq"))).alias("_end"))
+    rows = events.join(first, "job_id").where("_end is null or seq <= _end")
+    overall = F.when(~ended & ~F.isnan("overall"), F.least(F.lit(99), F.floor("overall").cast("int")))
+    kind = F.max(F.when(ended, F.col("type")))
+    status = F.when(kind == "finish", "done").when(kind == "error", "failed").otherwise("running")
+    peak = F.coalesce(F.max(F.nanvl("rss_mb", F.lit(None).cast("double"))), F.lit(0.0))
+    progress = F.when(kind == "finish", 100).otherwise(F.greatest(F.lit(0), F.coalesce(F.max(overall), F.lit(0))))
+    return rows.groupBy("job_id").agg(progress.alias("progress"), status.alias("status"), peak.alias("peak_mb"), (peak >= WARN_MB).alias("warned"))

@@ -174,3 +174,39 @@ def test_page_chain(spark):
     got = [(r.page, r.text) for r in pages.page_chain(spark.createDataFrame(rows, schema), boxes, 595.0).orderBy("page", "order", "part").collect()]
     assert got == [(0, "**Is it so?**"), (0, "Figure 1: It is so."), (0, "![](fig_p000_00.png)"), (0, "10² & more"), (1, "Only text"), (1, "![](tab_p001_00.png)")]
     assert pages.page_chain(spark.createDataFrame([], schema), boxes, 595.0).count() == 0
+
+
+def test_absorbed_headers_is_absorb_header(spark):
+    from leafmill.operators.lines import absorb_header, absorbed_headers
+
+    rng = random.Random(12)
+    lines = [(f"d{d}", 0, float(y), float(y + rng.randint(3, 12)), rng.choice([1, 2, 2, 3])) for d in range(30) for y in rng.sample(range(0, 200, 7), 14)]
+    tables = [(f"d{d}", 0, [0.0, float(rng.randint(20, 220)), 50.0, 400.0]) for d in range(32)]
+    left = spark.createDataFrame(tables, "doc_id string, page int, bbox array<double>")
+    right = spark.createDataFrame(lines, "doc_id string, page int, y0 double, y1 double, segments bigint")
+    got = {r.doc_id: r.top for r in absorbed_headers(left, right).collect()}
+    assert got == {d: absorb_header([(a, b, s) for x, _, a, b, s in lines if x == d], box[1]) for d, _, box in tables}
+
+
+def test_folded_is_the_stream_fold(spark):
+    from leafmill.streaming import jobs
+
+    rng = random.Random(13)
+    rows = []
+    for j in range(40):
+        for seq in range(rng.randint(1, 9)):
+            kind = rng.choices(["progress", "finish", "error"], [8, 1, 1])[0]
+            rows.append((f"j{j}", seq, kind, None, rng.choice([None, float("nan"), 3.7, 120.0, 55.5]), rng.choice([None, float("nan"), 10.0, 2048.0]), None))
+    want = {}
+    for job, seq, kind, stage, overall, rss, _ in rows:
+        want[job] = jobs._step(want.get(job, (0, None, "running", 0.0, False)), (kind, stage, overall, rss))
+    got = {r.job_id: (r.progress, r.status, r.peak_mb, r.warned) for r in jobs.folded(spark.createDataFrame(rows, jobs.EVENTS)).collect()}
+    assert got == {j: (p, status, peak, warned) for j, (p, _, status, peak, warned) in want.items()}
+
+
+def test_regions_of_known_and_new_pages(spark):
+    pages_ = spark.createDataFrame([("d", 0, b"ab"), ("d", 1, b"abc"), ("d", 1, b"abc")], "doc_id string, page int, content binary")
+    cache = spark.createDataFrame([("d", 0, "title", 0.7, [1.0, 1.0, 2.0, 2.0]), ("e", 0, "title", 0.7, None)], "doc_id string, page int, label string, conf double, bbox array<double>")
+    got = sorted((r.doc_id, r.page, r.label) for r in providers.regions_of(pages_, cache, Layout).collect())
+    assert got == [("d", 0, "title"), ("d", 1, "figure")]
+    assert column(spark, lambda c: providers.noted(F.lit("md"), c), True, False, kind="boolean") == ["md\n\n…", "md"]

@@ -241,7 +241,7 @@ def monotone_progress(events: DataFrame, job: str, seq: str, value: str) -> Data
     """
     chunk = F.floor(F.col(seq) / 1000)
     inside = Window.partitionBy(job, "_chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("_chunk", chunk).withColumn("_v", F.least(F.lit(99), F.col(value)))
+    rows = events.withColumn("_chunk", chunk).withColumn("_v", F.when(F.col(value).isNotNull(), F.least(F.lit(99), F.col(value))))
     rows = rows.withColumn("_in", F.max("_v").over(inside))
     before = Window.partitionBy(job).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy(job, "_chunk").agg(F.max("_v").alias("_max")).select(job, "_chunk", F.max("_max").over(before).alias("_before"))

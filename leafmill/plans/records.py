@@ -330,7 +330,7 @@ def source_s19_messages(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "events")
     said.withColumn("value", F.explode(F.array("value", F.lit("{\"job_id\": 7,")))).write.text(path)
     read = spark.read.text(path).select(F.from_json("value", "job_id string, type string, overall double").alias("e")).where("e.type = 'progress'").select("e.*")
-    return read.groupBy("job_id").agg(F.max(F.least(F.lit(99.0), F.col("overall"))).alias("furthest"), F.count("*").alias("n"))
+    return read.groupBy("job_id").agg(F.least(F.lit(99.0), F.max("overall")).alias("furthest"), F.count("*").alias("n"))
 
 
 # Providers

@@ -91,7 +91,7 @@ def folded(events: DataFrame) -> DataFrame:
     ended = F.col("type").isin("finish", "error")
     first = events.groupBy("job_id").agg(F.min(F.when(ended, F.col("seq"))).alias("_end"))
     rows = events.join(first, "job_id").where("_end is null or seq <= _end")
-    overall = F.when(~ended & ~F.isnan("overall"), F.least(F.lit(99), F.floor("overall").cast("int")))
+    overall = F.when(~ended & F.col("overall").isNotNull() & ~F.isnan("overall"), F.least(F.lit(99), F.floor("overall").cast("int")))
     kind = F.max(F.when(ended, F.col("type")))
     status = F.when(kind == "finish", "done").when(kind == "error", "failed").otherwise("running")
     peak = F.coalesce(F.max(F.nanvl("rss_mb", F.lit(None).cast("double"))), F.lit(0.0))

@@ -202,3 +202,9 @@ def test_similarity(spark, tmp_path):
     spark.createDataFrame([(0, "d", 0, 0, "right column left column", None, None), (0, "d", 0, 1, "same", None, None)], schema).write.parquet(f"{tmp_path}/block.parquet")
     got = {r.patch_id: r.similarity for r in pages.agg_a24_similarity(spark, str(tmp_path)).collect()}
     assert got[2] == 1.0 and got[1] == round(difflib.SequenceMatcher(None, "leftcolumnrightcolumn", "rightcolumnleftcolumn").ratio(), 5) < 1
+
+
+def test_progress_without_values(spark):
+    rows = [("j", 0, None), ("j", 1, 20.0), ("j", 2, None), ("j", 3, 150.0), ("k", 0, None)]
+    got = W.monotone_progress(spark.createDataFrame(rows, "job string, seq bigint, v double"), "job", "seq", "v").orderBy("job", "seq").collect()
+    assert [r.progress for r in got] == [None, 20.0, 20.0, 99.0, None]

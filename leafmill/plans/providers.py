@@ -106,21 +106,20 @@ def translate_blocks(blocks: DataFrame, memo: DataFrame, make: Callable[[], Prov
     ``memo``: ``key, payload``. Answers that are echoed or fused are asked for
     once more; what stays an echo has no answer.
     """
-    keyed = (
+    # rules and keys are found once; both the questions and the answers are joined to them
+    keyed = cut(
         blocks.withColumn("action", X.translate_action(F.col("original"), F.col("translated"), F.col("target_lang")))
-        .withColumn("clean", X.plain_math_letters(F.trim("original")))
-        .withColumn("key", X.content_key(F.lit("v3"), F.sha1(F.coalesce("clean", F.lit(""))), F.col("target_lang")))
+        .withColumn("clean", F.when(F.col("action").isin("translate", "mixed"), X.plain_math_letters(F.trim("original"))))
+        .withColumn("key", F.when(F.col("action").isin("translate", "mixed"), X.content_key(F.lit("v3"), F.sha1(F.coalesce("clean", F.lit(""))), F.col("target_lang"))))
+        .withColumn("original", F.when(F.col("action") != "reuse", F.col("original")))
+        .withColumn("translated", F.when(F.col("action") == "reuse", F.col("translated")))
     )
-    # written once: the memo, the provider and the final join would each derive it again
-    asked = cut(keyed.where("action in ('translate', 'mixed')").select("key", "clean", "target_lang").dropDuplicates(["key"]))
-    known = memo.select("key", F.col("payload").alias("answer"))
-    found = asked.join(known, "key")
-    usable = ~X.needs_retry(F.col("clean"), F.col("answer"), F.col("target_lang"))
-    found = found.where(usable)
-    todo = asked.join(found, "key", "left_anti")
-    made = cut(run(todo, make, "clean", "target_lang"))
-    answered = found.select("key", "answer").unionByName(made.select("key", X.strip_stray_emphasis(F.col("answer")).alias("answer")))
-    out = keyed.join(answered.select("key", F.col("answer").alias("_a")), "key", "left")
+    asked = keyed.where("key is not null").select("key", "clean", "target_lang").dropDuplicates(["key"])
+    met = cut(asked.join(memo.select("key", F.col("payload").alias("answer")), "key", "left"))
+    sound = F.col("answer").isNotNull() & ~F.coalesce(X.needs_retry(F.col("clean"), F.col("answer"), F.col("target_lang")), F.lit(True))
+    made = run(met.where(~sound).drop("answer"), make, "clean", "target_lang")
+    answered = met.where(sound).select("key", F.col("answer").alias("_a")).unionByName(made.select("key", X.strip_stray_emphasis(F.col("answer")).alias("_a")))
+    out = keyed.join(answered, "key", "left")
     kept = F.when(F.col("action").isin("formula", "image", "code"), F.col("original")).when(F.col("action") == "reuse", F.col("translated"))
     echo = X.is_echo(F.col("original"), F.col("_a"), F.col("target_lang"))
     return out.select("doc_id", "page", "block_id", "action", F.coalesce(kept, F.when(~echo, F.col("_a"))).alias("answer"))

@@ -43,8 +43,9 @@ def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_consistent(spark: SparkSession, sf: str) -> DataFrame:
+    """The visible form of each original, and the same under full case folding for comparisons that ignore case."""
     rows = table(spark, sf, "block_patch").where("original is not null")
-    return rows.select("patch_id", lookalike.consistent_text("original").alias("original")).distinct()
+    return rows.select("patch_id", lookalike.consistent_text("original").alias("original"), lookalike.folded_text("original").alias("folded")).distinct()
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,6 +47,7 @@ PLAIN_RECURS = 0.3
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\s.,;:()\[\]“”\"?!…]+(?:[!|$][^\s.,;:()\[\]“”\"?!…]+)*")
 _MARK = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)\s?[-¬­‐]\s*$")
+_MARKS = frozenset("-¬­‐")
 _FIRST = re.compile(r"\s*([^\W\d_]+(?:-[^\W\d_]+)*)")
 _DIGITS = r"[\dlIOoS|]{1,4}"
 _NUMBER_LINE = {
@@ -61,6 +62,7 @@ _NUMBERED = re.compile(r"\d+(?:\.\d+)+\.?\s+\S")
 _OUTER_NUMBER = re.compile(rf"^\s*{_DIGITS}\s{{2,}}\S|\S\s{{2,}}{_DIGITS}\s*$")
 _STRIP_NUMBER = re.compile(rf"^\s*{_DIGITS}\s{{2,}}|\s{{2,}}{_DIGITS}\s*$")
 _EDGE = "'’-¬­‐"
+_ENDS = frozenset(".!?;:,。！？")
 _END = re.compile(r"[.!?;:,。！？]\s*$")
 
 # Characters that scanners mix up, drawn together into one.
@@ -175,7 +177,7 @@ def label_lines(text: str, recurs: dict[int, int], page_index: int | None = None
         after_blank = i == 0 or not page.bare[i - 1]
         before_blank = i == n - 1 or not page.bare[i + 1]
         numbered = bool(_NUMBERED.match(t))
-        ended = bool(_END.search(t))
+        ended = t[-1] in _ENDS
         loose = page.loose(i)
         again = recurs.get(i + 1, 0)
         form = notation(t)
@@ -354,7 +356,8 @@ def _line_ends(lines: list[str], states: list[int]) -> dict[int, tuple[re.Match,
     """The marked ends of body lines with the first word of the line that goes on."""
     out = {}
     for i, j in _followers(lines, states).items():
-        if (m := _MARK.search(lines[i])) and (f := _FIRST.match(lines[j])):
+        # the last character tells most lines apart
+        if lines[i].rstrip()[-1:] in _MARKS and (m := _MARK.search(lines[i])) and (f := _FIRST.match(lines[j])):
             out[i] = m, f.group(1)
     return out
 
